@@ -218,6 +218,13 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, text_col: str
     return out.select("doc_id", F.col("n").alias("n_shingles"), own("class_id"), own("component_id"))
 
 
+def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the document with the smallest id."""
+    groups = similar_groups(docs, n, percent, text_col, id_col)
+    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("stay_id")).distinct()
+    return docs.join(stay, F.col(id_col).cast("bigint") == F.col("stay_id"), "left_semi")
+
+
 def op4(spark, sf_dir: str) -> DataFrame:
     found = similar_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "class_id")

@@ -15,6 +15,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ._common import materialize
+
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 
@@ -41,9 +43,11 @@ POLICIES = {("base", 1): BASE, ("standard", 1): 0b001111, ("standard", 2): 0b111
 CURRENT = ("standard", 2)
 
 
-def ledger(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Per row: id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper, fail_bits."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+def ledger(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", carry: bool = False) -> DataFrame:
+    """Per row (with the whole input row as the struct ``input_row`` if ``carry``): id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper, fail_bits."""
+    rest = ["input_row"] if carry else []
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("input_row")] if carry else []
+    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), *whole)
     d = d.withColumn("w", F.regexp_extract_all("t", F.lit(WORD), F.lit(0)))
     d = d.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: F.regexp_like(x, F.lit(WORD))))
     n = F.size("w")
@@ -51,6 +55,7 @@ def ledger(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
     windows = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2)))
     d = d.select(
         "doc_id",
+        *rest,
         n.cast("long").alias("n_words"),
         F.length(F.regexp_replace("t", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
@@ -77,6 +82,13 @@ def apply_policy(led: DataFrame, policy: tuple[str, int] = CURRENT) -> DataFrame
     return led.withColumn("base_failed", failed(BASE)).withColumn("kept", ~failed(BASE | POLICIES[policy]))
 
 
+def keep(docs: DataFrame, policy: tuple[str, int] = CURRENT, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that a policy keeps, with their columns."""
+    # the ledger is stored before a policy filters it: pushed into the ledger, the filter would repeat every rule
+    stored = materialize(ledger(docs, text_col, id_col, carry=True), "ledger")
+    return apply_policy(stored, policy).where("kept").select("input_row.*")
+
+
 def ablation(led: DataFrame, policies: dict[tuple[str, int], int] | None = None) -> DataFrame:
     """Per policy and rule: how many documents fail the rule, fail it alone, and would be kept without it."""
     policies = POLICIES if policies is None else policies

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, linededup, maxscore, packing, quality, tokencount
+from . import bpe, jaccard, langid, linededup, maxscore, packing, quality, suffixdedup, tokencount, toxicity
 
 QUERIES = {
     "op1_maxscore_topk": maxscore.op1,
     "op2_token_counts": tokencount.op2,
+    "op3_language_id": langid.op3,
+    "op4_ngram_jaccard": jaccard.op4,
     "op5_best_fit_packing": packing.op5,
+    "op6_suffix_dedup": suffixdedup.op6,
     "op7_quality_rules": quality.op7,
     "op8_bpe": bpe.op8,
     "op9_line_dedup": linededup.op9,
+    "op10_toxicity": toxicity.op10,
 }
 
 ORACLE_SQL = {

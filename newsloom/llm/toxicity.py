@@ -144,26 +144,27 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     return Model(chosen, got["bias"], np.frombuffer(got["weights"], np.float32), np.frombuffer(got["vectors"], np.float32).reshape(-1, RANK))
 
 
-def _score(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with score in 0..1 and predicted (1 if score >= THRESHOLD) in place of columns of these names."""
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
         hashes = TermHashes()
-        for batch in batches:
-            for b, held in slices(batch, "text"):
-                margin = np.array([model.margin(terms(t, hashes)) for t in held])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(margin, -30, 30))))], ["doc_id", "score"])
+        margin = np.array([model.margin(terms(t or "", hashes)) for t in texts])
+        return pd.Series(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
 
-    return run
+    out = docs.withColumn("score", scored(F.col(text_col).cast("string")))
+    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Per row: doc_id, score in 0..1, predicted (1 if score >= THRESHOLD)."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInArrow(_score(model), f"doc_id {kind}, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+def keep(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` not predicted toxic by a model learned from those of its rows that ``labels`` covers."""
+    scored = score(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("input_row"), F.col(text_col).alias("t")), fit(docs, labels, text_col, id_col), "t")
+    return scored.where("predicted = 0").select("input_row.*")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = crc_mod("doc_id", 3) == 1
     model = fit(docs.where(~held_out), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return score(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
