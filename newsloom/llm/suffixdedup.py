@@ -109,7 +109,7 @@ def _describe(length: int):
     return run
 
 
-RUN = "bucket int, lcp binary, tail binary, size binary, left binary, left_size binary, gram binary, doc binary, place binary"
+RUN = "bucket int, lcp binary, tail binary, size binary, left binary, left_size binary, doc binary, place binary, own_doc binary, own_start binary, own_end binary"
 
 
 def shared(a: bytes, b: bytes, start: int) -> int:
@@ -138,12 +138,22 @@ def _runs(length: int, buckets: int):
         held: list[list[tuple]] = [[] for _ in range(buckets)]
 
         def flush(k: int) -> pa.RecordBatch:
-            rows = sorted(held[k])
+            rows, own, before, held[k] = [], [], None, sorted(held[k])
+            for r in held[k]:
+                if before is not None and r[:2] == before[:2]:
+                    # all around both anchors is equal: their repeats are known here, and one goes on
+                    low, high = max(0, length - len(r[0])), len(r[1])
+                    if low <= high:
+                        own += [(x[2], x[3] - high, x[3] - low + length) for x in ((r,) if before is not rows[-1] else (before, r))]
+                else:
+                    rows.append(r)
+                before = r
             held[k] = []
             lcp, tail = front_coded([r[0] for r in rows])
             left = [r[1] for r in rows]
-            cols = [lcp, tail, np.array([len(r[0]) for r in rows], "<u2").tobytes(), b"".join(left), np.array([len(x) for x in left], "<u2").tobytes(), *(np.array([r[i] for r in rows], "<i8").tobytes() for i in (2, 3, 4))]
-            return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([c], pa.binary()) for c in cols)], ["bucket", "lcp", "tail", "size", "left", "left_size", "gram", "doc", "place"])
+            cols = [lcp, tail, np.array([len(r[0]) for r in rows], "<u2").tobytes(), b"".join(left), np.array([len(x) for x in left], "<u2").tobytes()]
+            cols += [np.array([r[i] for r in rows], "<i8").tobytes() for i in (2, 3)] + [np.array([o[i] for o in own], "<i8").tobytes() for i in (0, 1, 2)]
+            return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([c], pa.binary()) for c in cols)], [c.split()[0] for c in RUN.split(", ")])
 
         for batch in batches:
             for b, texts in slices(batch, "text", most_rows=64):
@@ -151,7 +161,7 @@ def _runs(length: int, buckets: int):
                     raw = text.encode()
                     for g, p in zip(grams, places, strict=True):
                         k = (g >> 20) % buckets
-                        held[k].append((raw[p : p + length], raw[max(0, p - reach) : p], g, doc, p))
+                        held[k].append((raw[p : p + length], raw[max(0, p - reach) : p], doc, p))
                         if len(held[k]) >= RUN_ROWS:
                             yield flush(k)
         for k in range(buckets):
@@ -256,7 +266,7 @@ def _merged(length: int):
         for r in rows:
             ends = np.cumsum(np.frombuffer(r["left_size"], "<u2").astype(np.int64))
             lefts.append((np.concatenate([[0], ends]).tolist(), r["left"], np.frombuffer(r["doc"], "<i8"), np.frombuffer(r["place"], "<i8")))
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found = [tuple(np.frombuffer(r[c], "<i8") for c in ("own_doc", "own_start", "own_end")) for r in rows]
         group: list[tuple[bytes, bytes, int, int]] = []
         lcps: list[int] = []
 
@@ -307,15 +317,21 @@ def _windows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b, texts in slices(batch, "text", most_rows=16, most_chars=200_000):
-                docs, starts, digests = [], [], []
+                out: list[tuple] = []
                 for doc, text, places in zip(b.column("doc_id").to_pylist(), texts, b.column("places").to_pylist(), strict=True):
                     raw = text.encode()
-                    at = {s for p in places for s in range(max(0, p - reach), min(p, len(raw) - length) + 1)}
-                    for s in sorted(at):
-                        docs.append(doc)
-                        starts.append(s)
-                        digests.append(hashlib.blake2b(raw[s : s + length], digest_size=16).digest())
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "start", "digest"])
+                    spans: dict[bytes, list] = {}
+                    for s in sorted({s for p in places for s in range(max(0, p - reach), min(p, len(raw) - length) + 1)}):
+                        # equal strings of one text meet here; their spans run together where they overlap
+                        seen = spans.setdefault(hashlib.blake2b(raw[s : s + length], digest_size=16).digest(), [0])
+                        seen[0] += 1
+                        if len(seen) > 1 and s <= seen[-1]["end"]:
+                            seen[-1]["end"] = s + length
+                        else:
+                            seen.append({"start": s, "end": s + length})
+                    out += [(doc, d, seen[0], seen[1:]) for d, seen in spans.items()]
+                kinds = [("doc_id", pa.int64()), ("digest", pa.binary()), ("times", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
 
     return run
 
@@ -361,9 +377,9 @@ def suffix_dedup(docs: DataFrame, length: int = 200, text_col: str = "text", id_
     runs = with_text.where(F.size("near") > 0).select("doc_id", "text", F.col("near.gram").alias("grams"), F.col("near.place").alias("places")).mapInArrow(_runs(length, buckets), RUN)
     found = runs.groupBy("bucket").applyInPandas(_merged(length), "doc_id bigint, start bigint, end bigint")
     if wanted.where(F.size("hot") > 0).limit(1).count():
-        strings = materialize(with_text.where(F.size("hot") > 0).select("doc_id", "text", F.col("hot").alias("places")).mapInArrow(_windows(length), "doc_id bigint, start bigint, digest binary"), "hot-strings")
-        twice = strings.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-        found = found.unionByName(strings.join(twice, "digest").select("doc_id", "start", (F.col("start") + length).alias("end")))
+        strings = materialize(with_text.where(F.size("hot") > 0).select("doc_id", "text", F.col("hot").alias("places")).mapInArrow(_windows(length), "doc_id bigint, digest binary, times bigint, spans array<struct<start:bigint,end:bigint>>"), "hot-strings")
+        twice = strings.groupBy("digest").agg(F.sum("times").alias("n")).where("n > 1").select("digest")
+        found = found.unionByName(strings.join(twice, "digest").select("doc_id", F.inline("spans")))
     # copies of a whole text lose all of it, if it is long enough
     copied = described.join(classes.where("copies > 1").select("digest"), "digest").where(F.col("n_bytes") >= length).select("doc_id", F.lit(0).cast("bigint").alias("start"), F.col("n_bytes").alias("end"))
     gone = found.unionByName(copied).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("gone"))
