@@ -9,9 +9,11 @@ of the pieces in which a pair agrees, the one with the most bits is then emitted
 pigeonhole join over (size band, piece, content) finds every similar pair, while sparse pieces, that
 unrelated documents share by chance, stay out.
 
-Members of a bucket are verified against one pivot, not against each other. Where that does not put
-a bucket into one component, further pivots follow for the members outside, and when those stop
-linking anything, the rest of the pairs that span components are verified one by one: no link is lost.
+Members of a bucket first meet its pivot, not each other: a pair whose sketches are near enough is verified
+on the texts. Where that does not put a bucket into one component, its members' sketches are compared block by
+block inside tasks, which return pairs across components only: first the closest ones that could join
+them, then, for what is still apart, all that the sketches allow. No link that joins components is lost,
+and no task returns or holds all pairs of a bucket.
 
 Null or wordless text has an empty set and links with nothing. A text with fewer words than n has its
 whole sequence as its only n-gram. Repeated rows with one id and one text are one document; ties do
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -36,6 +39,7 @@ from .pretokens import slices
 
 BIT = 20  # bits of position inside a piece
 SPREAD = 1.4  # pieces of a sketch for each emitted one
+BLOCK = 2000  # members of a bucket that one task compares
 BAND_STEPS = 3  # a size band spans this many factors of 1 / threshold
 MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -97,8 +101,9 @@ def bands_of(size: int, percent: int) -> list[int]:
     return [band, band - 1] if below else [band]
 
 
-def piece_keys(h: np.ndarray, percent: int) -> np.ndarray:
-    """Join keys of a set: for each size band, digests of its heaviest sketch pieces."""
+def piece_keys(h: np.ndarray, percent: int) -> list[dict]:
+    """For each size band of a set: the join keys (digests of its heaviest sketch pieces) and the whole
+    sketch as one byte a piece, by which pairs are compared before their texts are."""
     out = []
     for band in bands_of(len(h), percent):
         _, emit, pieces = band_plan(band, percent)
@@ -114,8 +119,19 @@ def piece_keys(h: np.ndarray, percent: int) -> np.ndarray:
             starts = np.flatnonzero(np.diff(piece, prepend=-1))
             content[piece[starts]] = np.bitwise_xor.reduceat(mix(bit), starts)
         chosen = np.argsort(-count, kind="stable")[:emit].astype(np.uint64)
-        out.append(mix(content[chosen.astype(np.int64)] + mix(chosen + (np.uint64(band + 1) << np.uint64(40)))))
-    return np.concatenate(out).view(np.int64)
+        keys = mix(content[chosen.astype(np.int64)] + mix(chosen + (np.uint64(band + 1) << np.uint64(40))))
+        out.append({"band": band, "keys": keys.view(np.int64), "sketch": (content >> np.uint64(56)).astype(np.uint8).tobytes()})
+    return out
+
+
+BANDS = "array<struct<band:int,keys:array<bigint>,sketch:binary>>"
+_BANDS_ARROW = pa.list_(pa.struct([("band", pa.int32()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())]))
+
+
+def agreement(band: int, percent: int) -> int:
+    """In how many pieces the sketches of a similar pair agree at least."""
+    _, emit, pieces = band_plan(band, percent)
+    return pieces - (emit - 1)
 
 
 def _describe(n: int, percent: int):
@@ -132,7 +148,79 @@ def _describe(n: int, percent: int):
                     # copies within a slice need their keys once
                     keys.append(None if digest is None or digest in seen else piece_keys(h, percent))
                     seen.add(digest)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "keys"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, _BANDS_ARROW)], ["doc_id", "n", "digest", "bands"])
+
+    return run
+
+
+def _promising(percent: int):
+    """Pairs whose sketches are near enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for band, x, y in zip(b.column("band").to_pylist(), b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True):
+                good.append(int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum()) >= agreement(band, percent))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def bucket_edges(rep: np.ndarray, comp: np.ndarray, sketch: np.ndarray, side: np.ndarray, least: int, tree: bool) -> list[tuple[int, int]]:
+    """Pairs of a bucket's members in different components whose sketches agree in ``least`` pieces or more.
+    ``side``: 0 and 1 for the two blocks of a split bucket (only pairs across count), else all 0.
+    With ``tree`` only the closest pairs that would join the components, as if all were similar."""
+    rows = []
+    split = side.any()
+    for i in range(len(rep) - 1):
+        rest = slice(i + 1, None)
+        agree = (sketch[rest] == sketch[i]).sum(1)
+        good = (agree >= least) & (comp[rest] != comp[i]) & ((side[rest] != side[i]) | (not split))
+        at = np.flatnonzero(good)
+        if len(at):
+            rows.append(np.stack([agree[at], np.full(len(at), i), at + i + 1]))
+    if not rows:
+        return []
+    agree, x, y = np.concatenate(rows, axis=1)
+    pairs = zip(x.tolist(), y.tolist(), strict=True)
+    if tree:
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = root.get(up, up)
+                c = up
+            return c
+
+        order, kept = np.lexsort((y, x, -agree)), []
+        for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+            u, v = find(int(comp[i])), find(int(comp[j]))
+            if u != v:
+                root[u] = v
+                kept.append((i, j))
+        pairs = kept
+    return [(min(int(rep[i]), int(rep[j])), max(int(rep[i]), int(rep[j]))) for i, j in pairs]
+
+
+def _open_pairs(percent: int, tree: bool):
+    """Rows sorted by (key, bi, bj): the promising pairs of each bucket or block of one."""
+
+    def settle(group: pd.DataFrame) -> list[tuple[int, int]]:
+        sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1)
+        side = (group["own"] != group["bi"]).to_numpy().astype(np.int8)
+        return bucket_edges(group["rep"].to_numpy(), group["comp"].to_numpy(), sketch, side, agreement(int(group["band"].iloc[0]), percent), tree)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for f in frames:
+            f = f if held is None else pd.concat([held, f], ignore_index=True)
+            new = (f[["key", "bi", "bj"]].diff().fillna(1) != 0).any(axis=1).to_numpy()
+            starts = np.flatnonzero(new).tolist()
+            edges = [e for a, z in zip(starts[:-1], starts[1:], strict=True) for e in settle(f.iloc[a:z])]
+            held = f.iloc[starts[-1] :] if starts else None
+            yield pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+        if held is not None and len(held):
+            yield pd.DataFrame(settle(held), columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -143,8 +231,8 @@ def _verify(n: int, percent: int):
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 b = batch.slice(i, 64)
-                a_ids, good = b.column("a").to_pylist(), []
-                for a, ta, tb in zip(a_ids, b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True):
+                good = []
+                for a, ta, tb in zip(b.column("a").to_pylist(), b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True):
                     if a != last_id:
                         last_id, last = a, shingles(ta or "", n, words)
                     other = shingles(tb or "", n, words)
@@ -155,61 +243,58 @@ def _verify(n: int, percent: int):
     return run
 
 
-def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id", pair_bound: int = 8) -> DataFrame:
+def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """Per distinct (id, text): doc_id, n_shingles, class_id (smallest id with the same set)
-    and component_id (smallest id reachable by links of similarity >= percent / 100).
-
-    ``pair_bound``: a round verifies all open pairs at once when they are at most so many times the open rows."""
+    and component_id (smallest id reachable by links of similarity >= percent / 100)."""
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    described = materialize(source.mapInArrow(_describe(n, percent), "doc_id bigint, n bigint, digest binary, keys array<bigint>"), "sets")
-    classes = described.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys", ignorenulls=True).alias("keys"))
+    described = materialize(source.mapInArrow(_describe(n, percent), f"doc_id bigint, n bigint, digest binary, bands {BANDS}"), "sets")
+    classes = described.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands", ignorenulls=True).alias("bands"))
     classes = materialize(classes, "classes")
 
-    keyed = classes.select("rep", F.explode("keys").alias("key"))
+    # a band's number is part of its keys; the band goes along only where it is needed again
+    keyed = classes.select("rep", F.explode(F.flatten(F.transform("bands", lambda b: b["keys"]))).alias("key"))
     # a very frequent key meets in the map-side minimum; the join back is one that AQE splits
-    pivots = keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("members")).where("members > 1").select("key", "pivot")
+    pivots = keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("members")).where("members > 1")
     star = materialize(keyed.join(pivots, "key").where("rep <> pivot"), "star")
-    sizes = classes.select("rep", "n")
+    sketches = classes.select("rep", "n", F.col("bands")[0]["band"].alias("own"), F.inline("bands")).select("rep", "n", "own", "band", "sketch")
 
-    def close(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs whose sizes allow the similarity."""
-        pairs = pairs.distinct()
-        pairs = pairs.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
-        return pairs.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b")
+    def promising(pairs: DataFrame) -> DataFrame:
+        """Distinct pairs whose sizes and sketches allow the similarity."""
+        size = classes.select("rep", "n", F.col("bands")[0]["band"].alias("own"))
+        sized = pairs.distinct().join(size.toDF("a", "na", "oa"), "a").join(size.toDF("b", "nb", "ob"), "b")
+        sized = sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", F.least("oa", "ob").alias("band"))
+        sketch = sketches.select("rep", "band", "sketch")
+        with_both = sized.join(sketch.toDF("a", "band", "sa"), ["a", "band"]).join(sketch.toDF("b", "band", "sb"), ["b", "band"])
+        return with_both.select("a", "b", "band", "sa", "sb").mapInArrow(_promising(percent), "a bigint, b bigint")
 
     def verified(pairs: DataFrame) -> DataFrame:
         right = pairs.join(source.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
         full = right.join(source.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-        return materialize(full.select("a", "b", "ta", "tb").mapInArrow(_verify(n, percent), "a bigint, b bigint, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked")), "verified")
+        return full.select("a", "b", "ta", "tb").mapInArrow(_verify(n, percent), "a bigint, b bigint, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
-    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    checked = verified(close(star.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))))
-    members, turn, before = None, 0, None
+    checked = materialize(verified(promising(star.select(F.col("pivot").alias("a"), F.col("rep").alias("b")))), "verified")
+    # buckets of two are settled; the rest is followed up
+    larger = star.where("members > 2")
+    members = larger.select("key", "rep").unionByName(larger.select("key", F.col("pivot").alias("rep")).distinct())
+    turn = 0
     while True:
-        links = checked.where("linked")
-        groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        if members is None:
-            members = materialize(star.select("key", "rep").unionByName(star.select("key", F.col("pivot").alias("rep")).distinct()), "members")
+        groups = components(checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
         here = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-        spread = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi and c > 2")
-        # a pair met under several keys counts once for each; that only brings pivots forward
-        open_rows, open_pairs = (x or 0 for x in spread.agg(F.sum("c"), F.sum(F.col("c") * (F.col("c") - 1) / 2)).first())
-        if not open_rows:
-            break
-        rows = materialize(here.join(spread.select("key"), "key"), "open")
-        done = checked.select("a", "b")
-        if open_pairs <= pair_bound * open_rows or (turn > 1 and before is not None and open_rows > 0.9 * before):
-            left, right = rows.select("key", F.col("rep").alias("x"), F.col("comp").alias("cx")), rows.select("key", F.col("rep").alias("y"), F.col("comp").alias("cy"))
-            pairs = left.join(right, "key").where("x < y and cx <> cy").select(F.col("x").alias("a"), F.col("y").alias("b"))
-            checked = checked.unionByName(verified(close(pairs).join(done, ["a", "b"], "left_anti")))
-            groups = components(checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+        spread = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
+        rows = materialize(here.join(spread.select("key", "c"), "key"), "open")
+        # a key has one band: the one that lists it
+        of_key = F.filter("bands", lambda b: F.array_contains(b["keys"], F.col("key")))[0]
+        rows = rows.join(classes.select("rep", "bands"), "rep").withColumn("of", of_key).select("key", "rep", "comp", "c", "of.band", "of.sketch")
+        blocks = F.ceil(F.col("c") / block).cast("int")
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        rows = rows.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "rep", "comp", "band", "sketch")
+        dealt = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep")
+        pairs = dealt.mapInPandas(_open_pairs(percent, tree=turn == 0), "a bigint, b bigint").distinct()
+        fresh = materialize(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "fresh")
+        if turn and not fresh.limit(1).count():
             break
-        # another pivot of each open bucket, most likely of its largest component
-        draw = rows.groupBy("key").agg(F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(turn))).alias("p"))
-        drawn = rows.join(draw, "key").where("comp <> p.comp").select(*pair(F.col("rep"), F.col("p.rep")))
-        fresh = close(drawn).join(done, ["a", "b"], "left_anti")
-        checked = materialize(checked.unionByName(verified(fresh)), "checked")
-        turn, before, members = turn + 1, open_rows, rows.select("key", "rep")
+        checked = materialize(checked.unionByName(verified(fresh)), "verified")
+        members, turn = rows.select("key", "rep").distinct(), turn + 1
 
     reps = classes.select("digest", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     reps = reps.select("digest", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
