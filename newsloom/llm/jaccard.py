@@ -128,10 +128,9 @@ BANDS = "array<struct<band:int,keys:array<bigint>,sketch:binary>>"
 _BANDS_ARROW = pa.list_(pa.struct([("band", pa.int32()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())]))
 
 
-def agreement(band: int, percent: int) -> int:
-    """In how many pieces the sketches of a similar pair agree at least."""
-    _, emit, pieces = band_plan(band, percent)
-    return pieces - (emit - 1)
+def agreement(pieces: int, both_sizes, percent: int):
+    """In how many pieces the sketches of a similar pair agree at least, given the sum of the sets' sizes."""
+    return pieces - both_sizes * (100 - percent) // (100 + percent)
 
 
 def _describe(n: int, percent: int):
@@ -159,15 +158,15 @@ def _promising(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = []
-            for band, x, y in zip(b.column("band").to_pylist(), b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True):
-                good.append(int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum()) >= agreement(band, percent))
+            for size, x, y in zip(b.column("size").to_pylist(), b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True):
+                good.append(int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum()) >= agreement(len(x), size, percent))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
-def bucket_edges(rep: np.ndarray, comp: np.ndarray, sketch: np.ndarray, side: np.ndarray, least: int, tree: bool) -> list[tuple[int, int]]:
-    """Pairs of a bucket's members in different components whose sketches agree in ``least`` pieces or more.
+def bucket_edges(rep: np.ndarray, comp: np.ndarray, size: np.ndarray, sketch: np.ndarray, side: np.ndarray, percent: int, tree: bool) -> list[tuple[int, int]]:
+    """Pairs of a bucket's members in different components whose sizes and sketches allow the similarity.
     ``side``: 0 and 1 for the two blocks of a split bucket (only pairs across count), else all 0.
     With ``tree`` only the closest pairs that would join the components, as if all were similar."""
     rows = []
@@ -175,7 +174,8 @@ def bucket_edges(rep: np.ndarray, comp: np.ndarray, sketch: np.ndarray, side: np
     for i in range(len(rep) - 1):
         rest = slice(i + 1, None)
         agree = (sketch[rest] == sketch[i]).sum(1)
-        good = (agree >= least) & (comp[rest] != comp[i]) & ((side[rest] != side[i]) | (not split))
+        good = (agree >= agreement(sketch.shape[1], size[rest] + size[i], percent)) & (comp[rest] != comp[i]) & ((side[rest] != side[i]) | (not split))
+        good &= 100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i])
         at = np.flatnonzero(good)
         if len(at):
             rows.append(np.stack([agree[at], np.full(len(at), i), at + i + 1]))
@@ -205,26 +205,35 @@ def bucket_edges(rep: np.ndarray, comp: np.ndarray, sketch: np.ndarray, side: np
 def _open_pairs(percent: int, tree: bool):
     """Rows sorted by (key, bi, bj): the promising pairs of each bucket or block of one."""
 
-    def settle(group: pd.DataFrame) -> list[tuple[int, int]]:
-        sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1)
-        side = (group["own"] != group["bi"]).to_numpy().astype(np.int8)
-        return bucket_edges(group["rep"].to_numpy(), group["comp"].to_numpy(), sketch, side, agreement(int(group["band"].iloc[0]), percent), tree)
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for f in frames:
             f = f if held is None else pd.concat([held, f], ignore_index=True)
-            new = (f[["key", "bi", "bj"]].diff().fillna(1) != 0).any(axis=1).to_numpy()
-            starts = np.flatnonzero(new).tolist()
-            edges = [e for a, z in zip(starts[:-1], starts[1:], strict=True) for e in settle(f.iloc[a:z])]
-            held = f.iloc[starts[-1] :] if starts else None
-            yield pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+            starts = _starts(f)
+            yield settled(f, starts)
+            held = f.iloc[starts[-1] :] if len(starts) else None
         if held is not None and len(held):
-            yield pd.DataFrame(settle(held), columns=["a", "b"], dtype="int64")
+            yield settled(held, [0, len(held)])
+
+    def settled(f: pd.DataFrame, starts) -> pd.DataFrame:
+        """Pairs of all groups but the one after the last start, which may go on in the next frame."""
+        rep, comp, size, sketch = (f[c].to_numpy() for c in ("rep", "comp", "n", "sketch"))
+        side = (f["own"] != f["bi"]).to_numpy().astype(np.int8)
+        edges = []
+        for a, z in zip(starts[:-1], starts[1:], strict=True):
+            if z - a > 1 and (comp[a:z] != comp[a]).any():
+                bits = np.frombuffer(b"".join(sketch[a:z]), np.uint8).reshape(z - a, -1)
+                edges += bucket_edges(rep[a:z], comp[a:z], size[a:z], bits, side[a:z], percent, tree)
+        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
     return run
 
 
+def _starts(f: pd.DataFrame) -> np.ndarray:
+    keys = f[["key", "bi", "bj"]].to_numpy()
+    return np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])) if len(keys) else np.zeros(0, np.int64)
+
+
 def _verify(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, last_id, last = WordHashes(), None, None
@@ -262,39 +271,40 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, text_col: str
         """Distinct pairs whose sizes and sketches allow the similarity."""
         size = classes.select("rep", "n", F.col("bands")[0]["band"].alias("own"))
         sized = pairs.distinct().join(size.toDF("a", "na", "oa"), "a").join(size.toDF("b", "nb", "ob"), "b")
-        sized = sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", F.least("oa", "ob").alias("band"))
+        sized = sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", F.least("oa", "ob").alias("band"), (F.col("na") + F.col("nb")).alias("size"))
         sketch = sketches.select("rep", "band", "sketch")
         with_both = sized.join(sketch.toDF("a", "band", "sa"), ["a", "band"]).join(sketch.toDF("b", "band", "sb"), ["b", "band"])
-        return with_both.select("a", "b", "band", "sa", "sb").mapInArrow(_promising(percent), "a bigint, b bigint")
+        return with_both.select("a", "b", "size", "sa", "sb").mapInArrow(_promising(percent), "a bigint, b bigint")
+
+    # only texts that share a key with another are compared
+    sharing = star.select("rep").unionByName(star.select(F.col("pivot").alias("rep"))).distinct()
+    texts = materialize(source.join(sharing.toDF("doc_id"), "doc_id"), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        right = pairs.join(source.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        full = right.join(source.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+        right = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+        full = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
         return full.select("a", "b", "ta", "tb").mapInArrow(_verify(n, percent), "a bigint, b bigint, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
     checked = materialize(verified(promising(star.select(F.col("pivot").alias("a"), F.col("rep").alias("b")))), "verified")
     # buckets of two are settled; the rest is followed up
     larger = star.where("members > 2")
     members = larger.select("key", "rep").unionByName(larger.select("key", F.col("pivot").alias("rep")).distinct())
-    turn = 0
-    while True:
+    for tree in (True, False):
         groups = components(checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
         here = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
         spread = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
         rows = materialize(here.join(spread.select("key", "c"), "key"), "open")
         # a key has one band: the one that lists it
         of_key = F.filter("bands", lambda b: F.array_contains(b["keys"], F.col("key")))[0]
-        rows = rows.join(classes.select("rep", "bands"), "rep").withColumn("of", of_key).select("key", "rep", "comp", "c", "of.band", "of.sketch")
+        rows = rows.join(classes.select("rep", "n", "bands"), "rep").withColumn("of", of_key).select("key", "rep", "comp", "c", "n", "of.sketch")
         blocks = F.ceil(F.col("c") / block).cast("int")
         rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        rows = rows.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "rep", "comp", "band", "sketch")
+        rows = rows.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "rep", "comp", "n", "sketch")
         dealt = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep")
-        pairs = dealt.mapInPandas(_open_pairs(percent, tree=turn == 0), "a bigint, b bigint").distinct()
-        fresh = materialize(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "fresh")
-        if turn and not fresh.limit(1).count():
-            break
+        pairs = dealt.mapInPandas(_open_pairs(percent, tree), "a bigint, b bigint").distinct()
+        fresh = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
         checked = materialize(checked.unionByName(verified(fresh)), "verified")
-        members, turn = rows.select("key", "rep").distinct(), turn + 1
+    groups = components(checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     reps = classes.select("digest", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     reps = reps.select("digest", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
