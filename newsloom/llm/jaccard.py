@@ -9,8 +9,8 @@ of the pieces in which a pair agrees, the one with the most bits is then emitted
 pigeonhole join over (size band, piece, content) finds every similar pair, while sparse pieces, that
 unrelated documents share by chance, stay out.
 
-Members of a bucket first meet its pivot, not each other: a pair whose sketches are near enough is verified
-on the texts. Where that does not put a bucket into one component, its members' sketches are compared block by
+Members of a bucket first meet its pivot, not each other: a pair whose narrow sketches (eight bits a piece) are
+near enough in Hamming distance is verified on the texts. Where that does not put a bucket into one component, its members' sketches are compared block by
 block inside tasks, which return pairs across components only: first the closest ones that could join
 them, then, for what is still apart, all that the sketches allow. No link that joins components is lost,
 and no task returns or holds all pairs of a bucket.
@@ -101,9 +101,17 @@ def bands_of(size: int, percent: int) -> list[int]:
     return [band, band - 1] if below else [band]
 
 
+def narrow_sketch(h: np.ndarray, pieces: int) -> bytes:
+    """Parity sketch of eight bits a piece, as whole 64-bit words. As every n-gram flips one bit, the
+    Hamming distance of two of them is at most the symmetric difference of the sets."""
+    at = ((h >> np.uint64(32)) * np.uint64(pieces) >> np.uint64(32) << np.uint64(3)) | (h >> np.uint64(BIT) & np.uint64(7))
+    times = np.bincount(at.astype(np.int64), minlength=-(-pieces // 8) * 64)
+    return np.packbits((times & 1).astype(np.uint8)).tobytes()
+
+
 def piece_keys(h: np.ndarray, percent: int) -> list[dict]:
-    """For each size band of a set: the join keys (digests of its heaviest sketch pieces) and the whole
-    sketch as one byte a piece, by which pairs are compared before their texts are."""
+    """For each size band of a set: the join keys (digests of its heaviest sketch pieces) and a narrow
+    parity sketch of eight bits a piece, by which pairs are compared before their texts are."""
     out = []
     for band in bands_of(len(h), percent):
         _, emit, pieces = band_plan(band, percent)
@@ -120,7 +128,7 @@ def piece_keys(h: np.ndarray, percent: int) -> list[dict]:
             content[piece[starts]] = np.bitwise_xor.reduceat(mix(bit), starts)
         chosen = np.argsort(-count, kind="stable")[:emit].astype(np.uint64)
         keys = mix(content[chosen.astype(np.int64)] + mix(chosen + (np.uint64(band + 1) << np.uint64(40))))
-        out.append({"band": band, "keys": keys.view(np.int64), "sketch": (content >> np.uint64(56)).astype(np.uint8).tobytes()})
+        out.append({"band": band, "keys": keys.view(np.int64), "sketch": narrow_sketch(h, pieces)})
     return out
 
 
@@ -128,9 +136,9 @@ BANDS = "array<struct<band:int,keys:array<bigint>,sketch:binary>>"
 _BANDS_ARROW = pa.list_(pa.struct([("band", pa.int32()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())]))
 
 
-def agreement(pieces: int, both_sizes, percent: int):
-    """In how many pieces the sketches of a similar pair agree at least, given the sum of the sets' sizes."""
-    return pieces - both_sizes * (100 - percent) // (100 + percent)
+def most_apart(both_sizes, percent: int):
+    """Largest symmetric difference of a similar pair, given the sum of the sets' sizes."""
+    return both_sizes * (100 - percent) // (100 + percent)
 
 
 def _describe(n: int, percent: int):
@@ -159,7 +167,7 @@ def _promising(percent: int):
         for b in batches:
             good = []
             for size, x, y in zip(b.column("size").to_pylist(), b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True):
-                good.append(int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum()) >= agreement(len(x), size, percent))
+                good.append(int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum()) <= most_apart(size, percent))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
@@ -173,15 +181,15 @@ def bucket_edges(rep: np.ndarray, comp: np.ndarray, size: np.ndarray, sketch: np
     split = side.any()
     for i in range(len(rep) - 1):
         rest = slice(i + 1, None)
-        agree = (sketch[rest] == sketch[i]).sum(1)
-        good = (agree >= agreement(sketch.shape[1], size[rest] + size[i], percent)) & (comp[rest] != comp[i]) & ((side[rest] != side[i]) | (not split))
+        apart = np.bitwise_count(sketch[rest] ^ sketch[i]).sum(1, dtype=np.int64)
+        good = (apart <= most_apart(size[rest] + size[i], percent)) & (comp[rest] != comp[i]) & ((side[rest] != side[i]) | (not split))
         good &= 100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i])
         at = np.flatnonzero(good)
         if len(at):
-            rows.append(np.stack([agree[at], np.full(len(at), i), at + i + 1]))
+            rows.append(np.stack([apart[at], np.full(len(at), i), at + i + 1]))
     if not rows:
         return []
-    agree, x, y = np.concatenate(rows, axis=1)
+    apart, x, y = np.concatenate(rows, axis=1)
     pairs = zip(x.tolist(), y.tolist(), strict=True)
     if tree:
         root: dict[int, int] = {}
@@ -192,7 +200,7 @@ def bucket_edges(rep: np.ndarray, comp: np.ndarray, size: np.ndarray, sketch: np
                 c = up
             return c
 
-        order, kept = np.lexsort((y, x, -agree)), []
+        order, kept = np.lexsort((y, x, apart)), []
         for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
             u, v = find(int(comp[i])), find(int(comp[j]))
             if u != v:
@@ -222,7 +230,7 @@ def _open_pairs(percent: int, tree: bool):
         edges = []
         for a, z in zip(starts[:-1], starts[1:], strict=True):
             if z - a > 1 and (comp[a:z] != comp[a]).any():
-                bits = np.frombuffer(b"".join(sketch[a:z]), np.uint8).reshape(z - a, -1)
+                bits = np.frombuffer(b"".join(sketch[a:z]), np.uint64).reshape(z - a, -1)
                 edges += bucket_edges(rep[a:z], comp[a:z], size[a:z], bits, side[a:z], percent, tree)
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
