@@ -325,7 +325,7 @@ def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, text_col: str = "
     """The rows of ``docs`` without near-duplicates: of each component the document with the smallest id."""
     groups = similar_groups(docs, n, percent, text_col, id_col)
     stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("stay_id")).distinct()
-    return docs.join(stay, F.col(id_col).cast("bigint") == F.col("stay_id"), "left_semi")
+    return docs.join(stay, docs[id_col].cast("bigint") == stay["stay_id"], "left_semi")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ all others are removed together with the line break that ends them. Removed span
 in the original text (code points, end exclusive).
 
 Null text has no units and stays null; an empty text stays empty; repeated rows with one id count as
-one document's copies in order of their row number; ties of rank go to the smaller id. Other columns pass through.
+one document's copies in order of their row number; ties of rank go to the smaller id. Other columns pass through,
+but for those named like an added one (n_units, n_removed, removed), which it replaces.
 Built-in functions find what is lost; only
 documents that lose something are cut and joined again, in a pandas UDF. The group of a digest is reduced map-side to its first occurrence, so a very frequent
 line moves one row per task.
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ._common import materialize
 
 MIN_WORDS = 12
-
+SPANS = "array<struct<start:bigint,end:bigint>>"
 
 _BREAK = {"line": r"(?<=\n)", "paragraph": r"(?<=\n\n)(?!\n)"}
 
@@ -60,11 +61,12 @@ def _rebuild(by: str):
 def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rank_col: str | None = None, by: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the text replaced by what is kept, and n_units, n_removed and removed
     (array of start, end in the original text) added."""
-    names = {"u_row", "n_units", "n_removed", "removed"} - {text_col, id_col}
-    docs = docs.select(*[c for c in docs.columns if c not in names])
-    held = materialize(docs.withColumn("u_row", F.monotonically_increasing_id()), "line-rows")
-    rank = F.col(rank_col) if rank_col else F.lit(0)
-    cut = held.select("u_row", F.col(id_col).alias("id"), rank.alias("rank"), _units(F.col(text_col), by).alias("units"))
+    # the input row travels as one struct, so that none of its names can clash
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("input_row")
+    held = materialize(docs.select(whole, F.monotonically_increasing_id().alias("u_row")), "line-rows")
+    text = F.col("input_row")[text_col]
+    rank = F.col("input_row")[rank_col] if rank_col else F.lit(0)
+    cut = held.select("u_row", F.col("input_row")[id_col].alias("id"), rank.alias("rank"), _units(text, by).alias("units"))
     unit = cut.select("u_row", "id", "rank", F.posexplode("units").alias("pos", "unit")).withColumn("norm", _normal(F.col("unit")))
     long_enough = F.size(F.split("norm", " ")) >= min_words
     keyed = unit.where(long_enough).select("u_row", "pos", F.unhex(F.md5("norm")).alias("digest"), "rank", "id")
@@ -75,13 +77,16 @@ def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     # only documents that lose something are cut again; the others pass as they are
     out = held.join(gone, "u_row", "left")
     lost = F.col("gone").isNotNull()
-    made = _rebuild(by)(F.when(lost, F.col(text_col)), F.col("gone"))
-    out = out.withColumn("n_units", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(_units(F.col(text_col), by))).cast("long"))
-    out = out.withColumn("n_removed", F.when(lost, F.size("gone")).otherwise(0).cast("long")).withColumn("u_made", made)
-    out = out.withColumn(text_col, F.when(lost, F.col("u_made.kept")).otherwise(F.col(text_col)))
-    spans = F.arrays_zip(F.col("u_made.starts").alias("start"), F.col("u_made.ends").alias("end"))
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return out.withColumn("removed", F.when(lost, spans.cast("array<struct<start:bigint,end:bigint>>")).otherwise(none)).drop("u_row", "gone", "u_made")
+    out = out.withColumn("made", _rebuild(by)(F.when(lost, text), F.col("gone")))
+    spans = F.arrays_zip(F.col("made.starts").alias("start"), F.col("made.ends").alias("end")).cast(SPANS)
+    added = {
+        "n_units": F.when(text.isNull(), 0).otherwise(F.size(_units(text, by))).cast("long"),
+        "n_removed": F.when(lost, F.size("gone")).otherwise(0).cast("long"),
+        "removed": F.when(lost, spans).otherwise(F.array().cast(SPANS)),
+    }
+    kept = F.when(lost, F.col("made.kept")).otherwise(text).alias(text_col)
+    same = [kept if c == text_col else F.col("input_row")[c].alias(c) for c in docs.columns if c == text_col or c not in added]
+    return out.select(*same, *[c.alias(n) for n, c in added.items()])
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
