@@ -27,9 +27,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = linededup.line_dedup(docs).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
-    length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    # the row goes along whole, so that its columns stay as they are but for text and n_chars
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("input_row"))
+    out = linededup.line_dedup(rows).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    old = F.col("input_row")
+    length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(old["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    new = {"text": F.col("text"), "n_chars": length}
+    return out.select(*[new.get(c, old[c]).alias(c) for c in docs.columns])
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
