@@ -111,6 +111,15 @@ def _train(n_terms: int, share: dict[int, float]):
     return run
 
 
+def _sample_ids(rows: DataFrame, n: dict[int, int]) -> DataFrame:
+    """Ids of the ``SAMPLE`` rows of each label with the least hashes; ``n``: rows of each label. Only hashes below about
+    twice the share wanted reach the window, so the rows of its tasks do not grow with the table."""
+    below = lambda k: F.lit(min(-(2**63) + 2**64 * 2 * SAMPLE // n[k], 2**63 - 1)).cast("long")
+    near = rows.select("doc_id", "toxic", F.xxhash64("doc_id").alias("h")).where(F.col("h") <= F.when(F.col("toxic") == 1, below(1)).otherwise(below(0)))
+    turn = F.row_number().over(Window.partitionBy("toxic").orderBy("h", "doc_id"))
+    return near.withColumn("turn", turn).where(F.col("turn") <= SAMPLE).select("doc_id")
+
+
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic") -> Model:
     """Learn from the rows of ``docs`` that ``labels`` (id, 0/1 label) covers."""
     told = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1)").distinct()
@@ -128,8 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     if not len(chosen):
         return empty
     place = Model(chosen, 0.0, np.zeros(len(chosen)), np.zeros((len(chosen), RANK))).place
-    turn = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = materialize(rows.select("doc_id", "toxic").withColumn("turn", turn).where(F.col("turn") <= SAMPLE).select("doc_id"), "toxic-sample")
+    ids = materialize(_sample_ids(rows, n), "toxic-sample")
 
     @F.pandas_udf("array<int>")
     def chosen_of(t: pd.Series) -> pd.Series:

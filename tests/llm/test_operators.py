@@ -216,6 +216,16 @@ def test_line_dedup(docs):
         assert [(x["start"], x["end"]) for x in got.loc[i, "removed"]] == spans
 
 
+def test_toxicity_sample_is_the_least_hashes_of_each_label(spark):
+    from pyspark.sql import Window, functions as F
+
+    rows = spark.range(90_000).select(F.col("id").alias("doc_id"), (F.col("id") % 10 == 0).cast("int").alias("toxic"))
+    turn = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    want = rows.withColumn("turn", turn).where(F.col("turn") <= toxicity.SAMPLE).select("doc_id")
+    got = toxicity._sample_ids(rows, {0: 81_000, 1: 9_000})
+    assert got.count() == 19_000 and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
 def test_learned_operators_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     truth = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
