@@ -6,6 +6,11 @@ words are grouped by digest over the whole table; the occurrence first in (rank,
 all others are removed together with the line break that ends them. Removed spans keep their offsets
 in the original text (code points, end exclusive).
 
+With ``runs``, as in op9 and in the pipeline, every unit that is not blank is grouped, and what counts is the run: later
+occurrences that follow each other in a text, blank units between them aside, are removed if they have ``min_words``
+words together. So a unit of that length always goes, and a shorter one where the passage around it repeats too. Blank
+units stay.
+
 Null text has no units and stays null; an empty text stays empty; repeated rows with one id count as
 one document's copies in order of their row number; ties of rank go to the smaller id. Other columns pass through,
 but for those named like an added one (n_units, n_removed, removed), which it replaces.
@@ -27,6 +32,7 @@ from ._common import materialize
 MIN_WORDS = 12
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BREAK = {"line": r"(?<=\n)", "paragraph": r"(?<=\n\n)(?!\n)"}
 
 
@@ -39,8 +45,21 @@ def _normal(unit: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(unit), r"[\x20\x09-\x0D]+", " "))
 
 
-def _rebuild(by: str):
-    """(text, sorted positions of lost units) -> kept text and offsets of what is lost, in linear time."""
+def _long_runs(units: list[str], again: list[int], min_words: int) -> list[int]:
+    """Those of the sorted positions ``again`` whose run, blank units aside, has ``min_words`` words."""
+    gone, run, words, last = [], [], 0, -1
+    for i in again:
+        if any(_WORD.search(u) for u in units[last + 1 : i]):
+            gone += run if words >= min_words else []
+            run, words = [], 0
+        run.append(i)
+        words, last = words + len(_WORD.findall(units[i])), i
+    return gone + (run if words >= min_words else [])
+
+
+def _rebuild(by: str, min_run: int):
+    """(text, sorted positions of repeated units) -> kept text and offsets of what is lost, in linear time;
+    with ``min_run`` only runs of so many words are lost."""
     pattern = re.compile(_BREAK[by])
 
     @F.pandas_udf("kept string, starts array<bigint>, ends array<bigint>")
@@ -50,7 +69,9 @@ def _rebuild(by: str):
             if t is None:
                 rows.append((None, None, None))
                 continue
-            units, lost = pattern.split(t), set(g.tolist())
+            units = pattern.split(t)
+            g = _long_runs(units, g.tolist(), min_run) if min_run else g.tolist()
+            lost = set(g)
             ends = list(accumulate(map(len, units)))
             rows.append(("".join(u for i, u in enumerate(units) if i not in lost), [ends[i] - len(units[i]) for i in g], [ends[i] for i in g]))
         return pd.DataFrame(rows, columns=["kept", "starts", "ends"])
@@ -58,7 +79,7 @@ def _rebuild(by: str):
     return run
 
 
-def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rank_col: str | None = None, by: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rank_col: str | None = None, by: str = "line", min_words: int = MIN_WORDS, runs: bool = False) -> DataFrame:
     """``docs`` with the text replaced by what is kept, and n_units, n_removed and removed
     (array of start, end in the original text) added."""
     # the input row travels as one struct, so that none of its names can clash
@@ -68,20 +89,22 @@ def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     rank = F.col("input_row")[rank_col] if rank_col else F.lit(0)
     cut = held.select("u_row", F.col("input_row")[id_col].alias("id"), rank.alias("rank"), _units(text, by).alias("units"))
     unit = cut.select("u_row", "id", "rank", F.posexplode("units").alias("pos", "unit")).withColumn("norm", _normal(F.col("unit")))
-    long_enough = F.size(F.split("norm", " ")) >= min_words
-    keyed = unit.where(long_enough).select("u_row", "pos", F.unhex(F.md5("norm")).alias("digest"), "rank", "id")
+    words = F.size(F.split("norm", " "))
+    compared = F.col("norm") != "" if runs else words >= min_words
+    keyed = unit.where(compared).select("u_row", "pos", F.unhex(F.md5("norm")).alias("digest"), "rank", "id", words.alias("words"))
     place = F.struct("rank", "id", "u_row", "pos")
     first = keyed.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     again = keyed.join(first, "digest").where((F.col("u_row") != F.col("first.u_row")) | (F.col("pos") != F.col("first.pos")))
-    gone = again.groupBy("u_row").agg(F.sort_array(F.collect_list("pos")).alias("gone"))
+    # a text without so many repeated words has no run of them
+    gone = again.groupBy("u_row").agg(F.sort_array(F.collect_list("pos")).alias("gone"), F.sum("words").alias("words")).where(F.col("words") >= min_words).drop("words")
     # only documents that lose something are cut again; the others pass as they are
     out = held.join(gone, "u_row", "left")
     lost = F.col("gone").isNotNull()
-    out = out.withColumn("made", _rebuild(by)(F.when(lost, text), F.col("gone")))
+    out = out.withColumn("made", _rebuild(by, min_words if runs else 0)(F.when(lost, text), F.col("gone")))
     spans = F.arrays_zip(F.col("made.starts").alias("start"), F.col("made.ends").alias("end")).cast(SPANS)
     added = {
         "n_units": F.when(text.isNull(), 0).otherwise(F.size(_units(text, by))).cast("long"),
-        "n_removed": F.when(lost, F.size("gone")).otherwise(0).cast("long"),
+        "n_removed": F.when(lost, F.size("made.starts")).otherwise(0).cast("long"),
         "removed": F.when(lost, spans).otherwise(F.array().cast(SPANS)),
     }
     kept = F.when(lost, F.col("made.kept")).otherwise(text).alias(text_col)
@@ -90,4 +113,4 @@ def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_units", "n_removed", "removed", F.col("text").alias("kept_text"))
+    return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), runs=True).select("doc_id", "n_units", "n_removed", "removed", F.col("text").alias("kept_text"))

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from newsloom.llm import bpe, jaccard, langid, linededup, maxscore, packing, quality, suffixdedup, tokencount, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -216,6 +217,42 @@ def test_line_dedup(docs):
         assert [(x["start"], x["end"]) for x in got.loc[i, "removed"]] == spans
 
 
+def test_op9_removes_passages_of_short_lines(spark, tmp_path):
+    verse = "the first short line\nof a planted passage\n\nthat stands in lines\nof three to ten words\n"
+    texts = [f"alone here one\n{verse}the end of it", f"other words start\n{verse}and stop now", "a common short line\nnothing else", "A common  short line\nbut this\n", None, "", "\n\n"]
+    rows = [(i, t, len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in linededup.op9(spark, str(tmp_path)).collect()}
+    assert [got[i].kept_text for i in got if i != 1] == [texts[i] for i in got if i != 1]  # one short line alone is no passage
+    assert got[1].kept_text == "other words start\n\nand stop now" and got[1].n_removed == 4
+    assert [texts[1][r.start : r.end] for r in got[1].removed] == [u + "\n" for u in verse.split("\n") if u]
+    once = {r.doc_id: r.text for r in corpus_pipeline.repeated_lines(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).collect()}
+    assert once == {i: r.kept_text for i, r in got.items()}
+
+
+def test_line_runs_are_brute_force(docs):
+    seen, got = set(), by_id(linededup.line_dedup(docs, runs=True))
+    for i, t in enumerate(TEXTS):
+        units, again, filled = re.split(r"(?<=\n)", t or ""), set(), []
+        for k, u in enumerate(units):
+            norm = re.sub(r"[\x20\x09-\x0D]+", " ", u.lower()).strip(" ")
+            if norm:
+                filled.append(k)
+                again |= {k} if norm in seen else set()
+                seen.add(norm)
+        lost = set()
+        for at, k in enumerate(filled):
+            lo = hi = at
+            while lo > 0 and filled[lo - 1] in again:
+                lo -= 1
+            while hi + 1 < len(filled) and filled[hi + 1] in again:
+                hi += 1
+            if k in again and sum(len(WORD.findall(units[x])) for x in filled[lo : hi + 1]) >= linededup.MIN_WORDS:
+                lost.add(k)
+        assert got.loc[i, "n_removed"] == len(lost)
+        assert got.loc[i, "text"] == (None if t is None else "".join(u for k, u in enumerate(units) if k not in lost))
+
+
 def test_toxicity_sample_is_the_least_hashes_of_each_label(spark):
     from pyspark.sql import Window, functions as F
 
