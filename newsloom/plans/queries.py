@@ -157,7 +157,7 @@ REGISTRY: dict[str, tuple] = {
     "recall_count_percentiles": (lambda t: t.fused().groupBy("user_id").agg(F.count("*").alias("n")).agg(*[F.expr(f"percentile(n, {p / 100})").alias(f"p{p}") for p in (10, 25, 50, 75, 90)]), oracle("select " + ", ".join(f"quantile_cont(n, {p / 100}e0) as p{p}" for p in (10, 25, 50, 75, 90)) + " from (select user_id, cast(count(*) as double) as n from fused group by 1)")),
     "label_distribution": (lambda t: t.fused().groupBy("label").count().withColumnRenamed("count", "n"), oracle("select label, count(*) as n from fused group by label")),
     "group_sizes": (lambda t: t.fused().groupBy("user_id").agg(F.count("*").alias("n")), oracle("select user_id, count(*) as n from fused group by 1")),
-    "cold_user_fallback": (lambda t: rc.cold_fallback(t.click.where("user_id % 7 <> 0"), t.query, 50).withColumn("sim_score", F.round("sim_score", 6)), oracle("select user_id, article_id, round(1e0 - rn * 0.01e0, 6) as sim_score from (select distinct user_id from query where user_id not in (select user_id from click where user_id % 7 <> 0)) cross join (select item as article_id, row_number() over (order by count(*) desc, item) - 1 as rn from click where user_id % 7 <> 0 group by item order by count(*) desc, item limit 50)")),
+    "cold_user_fallback": (lambda t: rc.cold_fallback(t.click, t.query, 50).withColumn("sim_score", F.round("sim_score", 6)), oracle("select user_id, article_id, round(1e0 - rn * 0.01e0, 6) as sim_score from (select distinct user_id from query where user_id not in (select user_id from click where user_id % 7 <> 0)) cross join (select item as article_id, row_number() over (order by count(*) desc, item) - 1 as rn from click where user_id % 7 <> 0 group by item order by count(*) desc, item limit 50)")),
     "feat_article_meta": (lambda t: t.articles.select("article_id", "category_id", "words_count", F.floor(F.col("created_at_ts") / 1000).alias("created_at_ts"), F.timestamp_seconds(F.floor(F.col("created_at_ts") / 1000)).cast("timestamp_ntz").alias("created_at_datetime")), oracle("select item as article_id, cat as category_id, words as words_count, created // 1000 as created_at_ts, make_timestamp(created // 1000 * 1000000) as created_at_datetime from arts")),
     "feat_user_stats_v3": (lambda t: _rounded(ft.user_stats(t.click, t.articles).drop("last_category")), oracle(f"select user_id, {STAT_SQL} from us")),
     "feat_user_stats_baseline": (lambda t: _rounded(ft.user_stats_baseline(t.click, t.articles)), oracle(f"select user_id, {BASE_SQL} from usb")),
@@ -179,7 +179,7 @@ REGISTRY: dict[str, tuple] = {
     "group_kfold": (lambda t: ranking.group_kfold(t.fused()).select("user_id", "article_id", "fold"), oracle("select user_id, article_id, cast(user_id % 5 as integer) as fold from fused")),
     "oof_mean": (lambda t: ranking.fold_mean([t.pred().withColumn("pred", F.col("pred") * k) for k in range(1, 6)]).withColumn("pred", F.round("pred", 6)), oracle("select user_id, article_id, round(3e0 * sim_score, 6) as pred from fused")),
     "submission_top5": (
-        lambda t: ranking.submission(t.pred().where("article_id % 3 = 0"), t.query.where("click_article_id = -1"), t.click),
+        lambda t: ranking.submission(t.pred(), t.query.where("click_article_id = -1"), t.click),
         oracle("select user_id, " + ", ".join(f"max(article_id) filter (rn = {i}) as article_{i}" for i in range(1, 6)) + """ from (select *, row_number() over (partition by user_id order by src, round(s, 9) desc, article_id) as rn from (
           select user_id, article_id, s, src from (select user_id, article_id, sim_score as s, 0 as src, row_number() over (partition by user_id order by round(sim_score, 9) desc, article_id) as r0 from fused where article_id % 3 = 0) where r0 <= 5 and user_id in (select user_id from query where target = -1)
           union all select q.user_id, p.item, p.n, 1 from (select distinct user_id from query where target = -1) q cross join (select item, cast(count(*) as double) as n from click group by item order by n desc, item limit 10) p
