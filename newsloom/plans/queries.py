@@ -44,8 +44,16 @@ class Tables:
     def cold_c(self):
         return rc.cold_recall(self.knn, self.click, self.query, self.articles)
 
+    def channels(self):
+        return {"itemcf": self.itemcf_c(), "w2v": self.w2v_c(), "swing": self.swing_c(), "cold_start": self.cold_c()}
+
     def fused(self):
-        return rc.fuse({"itemcf": self.itemcf_c(), "w2v": self.w2v_c(), "swing": self.swing_c(), "cold_start": self.cold_c()})
+        """The channels that SQL can follow."""
+        return rc.fuse(self.channels())
+
+    def fused_all(self):
+        """All five channels; the learned one has no SQL."""
+        return rc.fuse(self.channels() | {"youtubednn": ranking.als_recall(self.click, self.query)})
 
     def pred(self):
         """A stand-in prediction for the ranking glue."""
@@ -92,7 +100,7 @@ DIFF_SQL = "created // 1000 - lcr as user_last_click_created_at_ts_diff, created
 
 
 def _gbt(t: Tables) -> tuple[ranking.Ranker, DataFrame, DataFrame]:
-    rows = ft.user_stats(t.click, t.articles).join(ft.counts(rc.keep_users(t.fused()), t.click, t.articles), "user_id")
+    rows = ft.user_stats(t.click, t.articles).join(ft.counts(rc.keep_users(t.fused_all()), t.click, t.articles), "user_id")
     cols = ["user_id", "article_id", "sim_score", "user_id_cnt", "article_id_cnt", "category_click_cnt", "user_click_datetime_hour_mean", "user_clicked_article_words_count_mean"]
     rows = rows.select("label", *cols).cache()
     ranker = ranking.Ranker(cols)
