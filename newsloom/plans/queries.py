@@ -99,10 +99,21 @@ SIM_SQL = "round(coalesce(e1.sim, 0e0), 5) as user_last_click_article_itemcf_sim
 DIFF_SQL = "created // 1000 - lcr as user_last_click_created_at_ts_diff, created // 1000 - lsec as user_last_click_timestamp_diff, words - lw as user_last_click_words_count_diff, coalesce(cast(cat = lcat as integer), 0) as same_as_last_category"
 
 
+def _held(d: DataFrame) -> DataFrame:
+    """``d`` computed once and without its plan, which many small jobs would carry along; in the checkpoint folder if there is one."""
+    return d.checkpoint() if d.sparkSession.sparkContext.getCheckpointDir() else d.localCheckpoint()
+
+
+def _ranker_rows(t: Tables) -> tuple[list[str], DataFrame]:
+    """The feature table of the candidates, and its columns to learn from in sorted order."""
+    cand = rc.keep_users(_held(t.fused_all()))
+    rows = ft.feature_v3(cand, t.click, t.articles, t.cf, t.swing, t.knn, t.vectors).drop("created_at_datetime")
+    return sorted(c for c in rows.columns if c != "label"), rows
+
+
 def _gbt(t: Tables) -> tuple[ranking.Ranker, DataFrame, DataFrame]:
-    rows = ft.user_stats(t.click, t.articles).join(ft.counts(rc.keep_users(t.fused_all()), t.click, t.articles), "user_id")
-    cols = ["user_id", "article_id", "sim_score", "user_id_cnt", "article_id_cnt", "category_click_cnt", "user_click_datetime_hour_mean", "user_clicked_article_words_count_mean"]
-    rows = rows.select("label", *cols).cache()
+    cols, rows = _ranker_rows(t)
+    rows = _held(rows.select("label", *cols))
     ranker = ranking.Ranker(cols)
     return ranker, ranker.fit_oof(rows.where("label is not null")), rows.where("label is null")
 
@@ -193,7 +204,7 @@ REGISTRY: dict[str, tuple] = {
           union all select q.user_id, p.item, p.n, 1 from (select distinct user_id from query where target = -1) q cross join (select item, cast(count(*) as double) as n from click group by item order by n desc, item limit 10) p
             where not exists (select 1 from (select user_id, article_id, row_number() over (partition by user_id order by round(sim_score, 9) desc, article_id) as r0 from fused where article_id % 3 = 0) o where o.r0 <= 5 and o.user_id = q.user_id and o.article_id = p.item))) group by user_id""")),
     "neg_sampling_prob": (lambda t: _rounded(ranking.negative_sampling_prob(t.click), 9), oracle("select item as article_id, round(p, 9) as p, round(ln(p + 1e-10), 9) as log_q from (select item, power(c, 0.75e0) / sum(power(c, 0.75e0)) over () as p from cnt)")),
-    "item2vec_train": (lambda t: ranking.item2vec(t.click, dim=32), None),
+    "item2vec_train": (lambda t: ranking.item2vec(t.click), None),
     "als_recall": (lambda t: ranking.als_recall(t.click, t.query), None),
     "gbt_rank": (lambda t: _gbt(t)[1], None),
     "gbt_online": (lambda t: (lambda g: g[0].predict(g[2]))(_gbt(t)), None),

@@ -19,3 +19,28 @@ def test_ranker_candidates_have_all_five_channels(spark, monkeypatch):
     assert set(scores(t.fused())) == set()
     got = scores(t.fused_all())
     assert list(got) == [(user, known)] and abs(got[user, known] - 0.01 * (1 + config.EPS)) < 1e-9
+
+
+def test_ranker_learns_from_the_whole_feature_table(spark, monkeypatch):
+    t = queries.Tables(spark, SF)
+    monkeypatch.setattr(queries.Tables, "fused_all", queries.Tables.fused)
+    cols, rows = queries._ranker_rows(t)
+    table = queries.queries()["feature_v3"](spark, SF)
+    assert cols == sorted(set(table.columns) - {"label"}) and len(cols) == 32
+    assert set(rows.columns) == {*cols, "label"}
+    seen = {}
+
+    class Ranker:
+        def __init__(self, features):
+            seen["features"] = features
+
+        def fit_oof(self, labelled_rows):
+            seen["rows"] = labelled_rows.columns
+
+    monkeypatch.setattr(queries.ranking, "Ranker", Ranker)
+    queries._gbt(t)
+    assert seen == {"features": cols, "rows": ["label", *cols]}
+
+
+def test_item_vectors_have_the_default_size(spark):
+    assert {len(r.vec) for r in queries.queries()["item2vec_train"](spark, SF).collect()} == {256}
