@@ -230,6 +230,14 @@ def test_op9_removes_passages_of_short_lines(spark, tmp_path):
     assert once == {i: r.kept_text for i, r in got.items()}
 
 
+def test_line_dedup_keeps_a_passage_inside_a_line(spark):
+    passage = " ".join(f"word{k}" for k in range(60))
+    texts = [f"{head} {passage} {tail}\n{passage}" for head, tail in (("one", "two"), ("three", "four"))]
+    got = linededup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), runs=True)
+    # the limit that the README states: only where the passage fills its line is it found
+    assert {r.doc_id: r.text for r in got.collect()} == {0: texts[0], 1: f"three {passage} four\n"}
+
+
 def test_line_runs_are_brute_force(docs):
     seen, got = set(), by_id(linededup.line_dedup(docs, runs=True))
     for i, t in enumerate(TEXTS):
