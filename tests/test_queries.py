@@ -1,6 +1,7 @@
 """The recommendation queries against their SQL on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from newsloom.plans import queries
@@ -17,7 +18,7 @@ CHECKED = [
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    cell = lambda x: None if x is None or x != x else f"{x:.6g}" if isinstance(x, float) else str(x)
+    cell = lambda x: None if pd.isna(x) else f"{x:.6g}" if isinstance(x, float) else str(x)
     return sorted((tuple(map(cell, r)) for r in frame.astype(object).itertuples(index=False)), key=str)
 
 
