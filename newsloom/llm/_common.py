@@ -3,32 +3,42 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
+import threading
 import uuid
+import weakref
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _FALLBACK: list[str] = []
+_HELD = threading.local()
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset
-    (local mode, tests) a temporary folder of this process."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, local mode (tests) takes
+    a temporary folder of this process; on a cluster there is no such folder, and it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share: intermediate tables are written there")
     if not _FALLBACK:
         _FALLBACK.append(tempfile.mkdtemp(prefix="newsloom-"))
     return _FALLBACK[0]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, deleted when the driver ends."""
+    """A new path in the shared folder, deleted when the driver ends or by ``drop``."""
     path = f"{shared_dir(spark)}/newsloom/{label}-{uuid.uuid4().hex}"
     atexit.register(_delete, spark, path)
+    for paths in getattr(_HELD, "scopes", ()):
+        paths.append(path)
     return path
 
 
@@ -40,12 +50,36 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextmanager
+def scratch_scope() -> Iterator[list[str]]:
+    """Collects the paths of the scratch tables that this thread makes inside the block."""
+    scopes = _HELD.scopes = getattr(_HELD, "scopes", [])
+    scopes.append(paths := [])
+    try:
+        yield paths
+    finally:
+        scopes.pop()
+
+
+def drop(spark: SparkSession, *held: DataFrame | str) -> None:
+    """Delete scratch tables that nothing reads any more, and let Spark delete the shuffle files of plans that are gone
+    (it does so when the driver's heap is collected, which may be long after)."""
+    for x in held:
+        path = x if isinstance(x, str) else _PATHS.get(x)
+        if path:
+            _delete(spark, path)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

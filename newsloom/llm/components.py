@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import materialize
+from ._common import drop, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -22,7 +22,8 @@ def components(links: DataFrame, label: str = "cc") -> DataFrame:
     edges = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{label}-edges")
     before = None
     while True:
-        edges = materialize(_star(_star(edges, True), False), label)
+        last, edges = edges, materialize(_star(_star(edges, True), False), label)
+        drop(links.sparkSession, last)
         now = tuple(edges.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == before:
             break

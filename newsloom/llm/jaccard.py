@@ -9,15 +9,19 @@ of the pieces in which a pair agrees, the one with the most bits is then emitted
 pigeonhole join over (size band, piece, content) finds every similar pair, while sparse pieces, that
 unrelated documents share by chance, stay out.
 
-Members of a bucket first meet its pivot, not each other: a pair whose narrow sketches (eight bits a piece) are
-near enough in Hamming distance is verified on the texts. Where that does not put a bucket into one component, its members' sketches are compared block by
-block inside tasks, which return pairs across components only: first the closest ones that could join
-them, then, for what is still apart, all that the sketches allow. No link that joins components is lost,
-and no task returns or holds all pairs of a bucket.
-
-Null or wordless text has an empty set and links with nothing. A text with fewer words than n has its
-whole sequence as its only n-gram. Repeated rows with one id and one text are one document; ties do
-not occur. Extra columns are ignored.
+Members of a bucket first meet its pivot, not each other: pairs whose sizes and narrow sketches (eight bits a
+piece) allow the similarity are verified on the texts, first each document's closest one, then those that are not yet
+in one component. Where that does not put a bucket into one component, its members' sketches are compared block by
+block inside tasks, the largest component against the rest and the rest among themselves: first each member's
+closest one in another component, then, for what is still apart, all that the sketches allow. No link that
+joins components is lost, and no task holds or returns all pairs of a bucket.
+
+Null, empty or wordless text has an empty set and links with nothing: its component is its own id. A text with fewer
+words than n has its whole sequence as its only n-gram. Very long texts are taken whole; a text's set is held in
+one task. Rows with one id and one text are one document; rows with one id and different texts are
+documents of their own that share the id, and each row gets the result of its text. A component's id is its smallest id; null
+ids count only where no other is there. Ties do not occur. An empty table gives an empty result. Extra columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +35,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ._common import materialize
+from ._common import drop, materialize
 from .components import components
 from .pretokens import slices
 
@@ -41,6 +45,7 @@ BIT = 20  # bits of position inside a piece
 SPREAD = 1.4  # pieces of a sketch for each emitted one
 BLOCK = 2000  # members of a bucket that one task compares
 BAND_STEPS = 3  # a size band spans this many factors of 1 / threshold
+BAND_BITS = 10  # of a key, for its band's number
 MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -128,6 +133,7 @@ def piece_keys(h: np.ndarray, percent: int) -> list[dict]:
             content[piece[starts]] = np.bitwise_xor.reduceat(mix(bit), starts)
         chosen = np.argsort(-count, kind="stable")[:emit].astype(np.uint64)
         keys = mix(content[chosen.astype(np.int64)] + mix(chosen + (np.uint64(band + 1) << np.uint64(40))))
+        keys = (keys >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS)) | np.uint64(band)
         out.append({"band": band, "keys": keys.view(np.int64), "sketch": narrow_sketch(h, pieces)})
     return out
 
@@ -141,76 +147,67 @@ def most_apart(both_sizes, percent: int):
     return both_sizes * (100 - percent) // (100 + percent)
 
 
+SETS = f"row bigint, doc_id bigint, th bigint, n bigint, digest binary, h bigint, bands {BANDS}"
+
+
 def _describe(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
+        words, seen = WordHashes(), set()
         for batch in batches:
             for b, held in slices(batch, "text"):
-                sizes, digests, keys, seen = [], [], [], set()
+                sizes, digests, names, bands = [], [], [], []
                 for text in held:
                     h = shingles(text, n, words)
                     sizes.append(len(h))
                     digest = hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None
                     digests.append(digest)
-                    # copies within a slice need their keys once
-                    keys.append(None if digest is None or digest in seen else piece_keys(h, percent))
+                    names.append(None if digest is None else int.from_bytes(digest[:8], "big", signed=True))
+                    # of equal sets in a task the first one's keys are enough
+                    new = digest is not None and digest not in seen and percent < 100
+                    bands.append(piece_keys(h, percent) if new else None)
+                    if len(seen) >= 400_000:
+                        seen.clear()
                     seen.add(digest)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, _BANDS_ARROW)], ["doc_id", "n", "digest", "bands"])
+                made = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(names, pa.int64()), pa.array(bands, _BANDS_ARROW)]
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("th"), *made], [c.split()[0] for c in SETS.split(", ")[:7]])
 
     return run
 
 
 def _promising(percent: int):
-    """Pairs whose sketches are near enough."""
+    """Pairs whose sketches are near enough, with their distance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = []
-            for size, x, y in zip(b.column("size").to_pylist(), b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True):
-                good.append(int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum()) <= most_apart(size, percent))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            apart = [int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum()) for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True)]
+            good = np.array(apart, np.int64) <= most_apart(b.column("size").to_numpy(zero_copy_only=False), percent)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(apart, pa.int64())], ["a", "b", "apart"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
-def bucket_edges(rep: np.ndarray, comp: np.ndarray, size: np.ndarray, sketch: np.ndarray, side: np.ndarray, percent: int, tree: bool) -> list[tuple[int, int]]:
-    """Pairs of a bucket's members in different components whose sizes and sketches allow the similarity.
+def bucket_pairs(comp: np.ndarray, size: np.ndarray, sketch: np.ndarray, side: np.ndarray, percent: int, closest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (index, index) of a bucket's members in different components whose sizes and sketches allow the similarity.
     ``side``: 0 and 1 for the two blocks of a split bucket (only pairs across count), else all 0.
-    With ``tree`` only the closest pairs that would join the components, as if all were similar."""
-    rows = []
+    With ``closest`` only each member's nearest one after it."""
     split = side.any()
-    for i in range(len(rep) - 1):
+    for i in range(len(comp) - 1):
         rest = slice(i + 1, None)
-        apart = np.bitwise_count(sketch[rest] ^ sketch[i]).sum(1, dtype=np.int64)
-        good = (apart <= most_apart(size[rest] + size[i], percent)) & (comp[rest] != comp[i]) & ((side[rest] != side[i]) | (not split))
+        good = (comp[rest] != comp[i]) & ((side[rest] != side[i]) | (not split))
         good &= 100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i])
-        at = np.flatnonzero(good)
+        at = np.flatnonzero(good) + i + 1
+        if not len(at):
+            continue
+        apart = np.bitwise_count(sketch[at] ^ sketch[i]).sum(1, dtype=np.int64)
+        near = apart <= most_apart(size[at] + size[i], percent)
+        at, apart = at[near], apart[near]
+        if closest:
+            at = at[apart.argmin() : apart.argmin() + 1] if len(at) else at
         if len(at):
-            rows.append(np.stack([apart[at], np.full(len(at), i), at + i + 1]))
-    if not rows:
-        return []
-    apart, x, y = np.concatenate(rows, axis=1)
-    pairs = zip(x.tolist(), y.tolist(), strict=True)
-    if tree:
-        root: dict[int, int] = {}
-
-        def find(c: int) -> int:
-            while (up := root.get(c, c)) != c:
-                root[c] = root.get(up, up)
-                c = up
-            return c
-
-        order, kept = np.lexsort((y, x, apart)), []
-        for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
-            u, v = find(int(comp[i])), find(int(comp[j]))
-            if u != v:
-                root[u] = v
-                kept.append((i, j))
-        pairs = kept
-    return [(min(int(rep[i]), int(rep[j])), max(int(rep[i]), int(rep[j]))) for i, j in pairs]
-
-
-def _open_pairs(percent: int, tree: bool):
+            yield np.full(len(at), i), at
+
+
+def _open_pairs(percent: int, closest: bool, most: int = 200_000):
     """Rows sorted by (key, bi, bj): the promising pairs of each bucket or block of one."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,21 +215,31 @@ def _open_pairs(percent: int, tree: bool):
         for f in frames:
             f = f if held is None else pd.concat([held, f], ignore_index=True)
             starts = _starts(f)
-            yield settled(f, starts)
+            yield from settled(f, starts)
             held = f.iloc[starts[-1] :] if len(starts) else None
         if held is not None and len(held):
-            yield settled(held, [0, len(held)])
+            yield from settled(held, [0, len(held)])
 
-    def settled(f: pd.DataFrame, starts) -> pd.DataFrame:
+    def settled(f: pd.DataFrame, starts) -> Iterator[pd.DataFrame]:
         """Pairs of all groups but the one after the last start, which may go on in the next frame."""
         rep, comp, size, sketch = (f[c].to_numpy() for c in ("rep", "comp", "n", "sketch"))
         side = (f["own"] != f["bi"]).to_numpy().astype(np.int8)
-        edges = []
+        found, rows = [], 0
         for a, z in zip(starts[:-1], starts[1:], strict=True):
-            if z - a > 1 and (comp[a:z] != comp[a]).any():
-                bits = np.frombuffer(b"".join(sketch[a:z]), np.uint64).reshape(z - a, -1)
-                edges += bucket_edges(rep[a:z], comp[a:z], size[a:z], bits, side[a:z], percent, tree)
-        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+            if z - a < 2 or not (comp[a:z] != comp[a]).any():
+                continue
+            bits = np.frombuffer(b"".join(sketch[a:z]), np.uint64).reshape(z - a, -1)
+            for i, j in bucket_pairs(comp[a:z], size[a:z], bits, side[a:z], percent, closest):
+                found.append((rep[a + i], rep[a + j]))
+                rows += len(i)
+                if rows >= most:
+                    yield frame(found)
+                    found, rows = [], 0
+        yield frame(found)
+
+    def frame(found: list) -> pd.DataFrame:
+        x, y = (np.concatenate([p[k] for p in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
     return run
 
@@ -260,72 +267,130 @@ def _verify(n: int, percent: int):
     return run
 
 
-def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """Per distinct (id, text): doc_id, n_shingles, class_id (smallest id with the same set)
-    and component_id (smallest id reachable by links of similarity >= percent / 100)."""
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    described = materialize(source.mapInArrow(_describe(n, percent), f"doc_id bigint, n bigint, digest binary, bands {BANDS}"), "sets")
-    classes = described.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands", ignorenulls=True).alias("bands"))
-    classes = materialize(classes, "classes")
-
-    # a band's number is part of its keys; the band goes along only where it is needed again
-    keyed = classes.select("rep", F.explode(F.flatten(F.transform("bands", lambda b: b["keys"]))).alias("key"))
-    # a very frequent key meets in the map-side minimum; the join back is one that AQE splits
-    pivots = keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("members")).where("members > 1")
-    star = materialize(keyed.join(pivots, "key").where("rep <> pivot"), "star")
-    sketches = classes.select("rep", "n", F.col("bands")[0]["band"].alias("own"), F.inline("bands")).select("rep", "n", "own", "band", "sketch")
+def _classes(docs: DataFrame, n: int, percent: int, text_col: str, id_col: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """(per row: row, doc_id, th (hash of the text), n, digest of its set; per distinct set: digest, first (its member with the
+    smallest id) and comp, the number of its component)."""
+    spark = docs.sparkSession
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    sets = materialize(source.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_describe(n, percent), SETS), "sets")
+
+    # buckets: the keys go through one exchange; a band's number is part of its keys
+    w = Window.partitionBy("key")
+    keyed = sets.where("bands is not null").select("h", F.explode(F.flatten(F.transform("bands", lambda b: b["keys"]))).alias("key"))
+    star = keyed.select("key", "h", F.min("h").over(w).alias("pivot"), F.max("h").over(w).alias("top"), F.count("*").over(w).alias("members")).where("pivot < top")
+    star = materialize(star.drop("top"), "star")
+
+    described = materialize(sets.select("row", "doc_id", "th", "n", "digest"), "rows")
+    member = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "th")
+    sketched = F.transform("bands", lambda b: F.struct(b["band"].alias("band"), b["sketch"].alias("sketch")))
+    classes = sets.where("digest is not null").groupBy("digest").agg(F.min(member).alias("first"), F.first("h").alias("h"), F.first("n").alias("n"), F.first(sketched, ignorenulls=True).alias("bands"))
+    classes = materialize(classes.withColumn("rep", F.col("first.row")), "classes")
+    drop(spark, sets)
+    # a set's own band is the first one; the band of a pair is the lower one of their own
+    sized = classes.select("h", "rep", "n", F.col("bands")[0]["band"].alias("own"))
+    sketches = classes.select("rep", F.inline("bands"))
 
     def promising(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs whose sizes and sketches allow the similarity."""
-        size = classes.select("rep", "n", F.col("bands")[0]["band"].alias("own"))
-        sized = pairs.distinct().join(size.toDF("a", "na", "oa"), "a").join(size.toDF("b", "nb", "ob"), "b")
-        sized = sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", F.least("oa", "ob").alias("band"), (F.col("na") + F.col("nb")).alias("size"))
-        sketch = sketches.select("rep", "band", "sketch")
-        with_both = sized.join(sketch.toDF("a", "band", "sa"), ["a", "band"]).join(sketch.toDF("b", "band", "sb"), ["b", "band"])
-        return with_both.select("a", "b", "size", "sa", "sb").mapInArrow(_promising(percent), "a bigint, b bigint")
-
-    # only texts that share a key with another are compared
-    sharing = star.select("rep").unionByName(star.select(F.col("pivot").alias("rep"))).distinct()
-    texts = materialize(source.join(sharing.toDF("doc_id"), "doc_id"), "texts")
+        """a, b, apart: distinct pairs of sets whose sizes and sketches allow the similarity."""
+        both = pairs.distinct().join(sized.toDF("ha", "a", "na", "oa"), "ha").join(sized.toDF("hb", "b", "nb", "ob"), "hb")
+        both = both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", F.least("oa", "ob").alias("band"), (F.col("na") + F.col("nb")).alias("size"))
+        both = both.join(sketches.toDF("a", "band", "sa"), ["a", "band"]).join(sketches.toDF("b", "band", "sb"), ["b", "band"])
+        near = both.select("a", "b", "size", "sa", "sb").mapInArrow(_promising(percent), "a bigint, b bigint, apart bigint")
+        return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "apart").distinct()
+
+    near = materialize(promising(star.where("h <> pivot").select(F.col("pivot").alias("ha"), F.col("h").alias("hb"))), "near")
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        """rep, text of the sets in pairs; a set's text is that of its first member."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(classes.select("rep", F.col("first.doc_id").alias("id"), F.col("first.th").alias("hash")), "rep")
+        found = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("hash")))
+        return found.groupBy("rep").agg(F.first("text").alias("text"))  # repeated rows meet before the exchange
 
     def verified(pairs: DataFrame) -> DataFrame:
-        right = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        full = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-        return full.select("a", "b", "ta", "tb").mapInArrow(_verify(n, percent), "a bigint, b bigint, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
-
-    checked = materialize(verified(promising(star.select(F.col("pivot").alias("a"), F.col("rep").alias("b")))), "verified")
-    # buckets of two are settled; the rest is followed up
-    larger = star.where("members > 2")
-    members = larger.select("key", "rep").unionByName(larger.select("key", F.col("pivot").alias("rep")).distinct())
-    for tree in (True, False):
-        groups = components(checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
-        here = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-        spread = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
-        rows = materialize(here.join(spread.select("key", "c"), "key"), "open")
-        # a key has one band: the one that lists it
-        of_key = F.filter("bands", lambda b: F.array_contains(b["keys"], F.col("key")))[0]
-        rows = rows.join(classes.select("rep", "n", "bands"), "rep").withColumn("of", of_key).select("key", "rep", "comp", "c", "n", "of.sketch")
-        blocks = F.ceil(F.col("c") / block).cast("int")
-        rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        """a, b, linked."""
+        texts = materialize(texts_of(pairs), "texts")
+        right = pairs.join(texts.toDF("b", "tb"), "b")
+        full = right.join(texts.toDF("a", "ta"), "a")
+        done = materialize(full.select("a", "b", "ta", "tb").mapInArrow(_verify(n, percent), "a bigint, b bigint, linked boolean"), "verified")
+        drop(spark, texts)
+        return done
+
+    def grouped(checked: DataFrame) -> DataFrame:
+        return components(checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))).toDF("rep", "comp")
+
+    def apart_in(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+        """The pairs whose ends are in different components."""
+        end = lambda c: groups.toDF(c, f"c{c}")
+        both = pairs.join(end("a"), "a", "left").join(end("b"), "b", "left")
+        return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+    # each set's closest candidate first: most components come about by few comparisons of texts
+    ends = near.select("a", "b", F.explode(F.array("a", "b")).alias("end"), "apart")
+    closest = ends.groupBy("end").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    checked = verified(materialize(closest, "pairs"))
+    groups = grouped(checked)
+    rest = materialize(apart_in(near.join(checked.select("a", "b"), ["a", "b"], "left_anti"), groups), "pairs")
+    if rest.limit(1).count():
+        checked = materialize(checked.unionByName(verified(rest)), "verified")
+        groups = grouped(checked)
+    drop(spark, near, rest)
+
+    # buckets of two are settled; larger ones are followed up where they are not in one component
+    members = star.where("members > 2").join(sized.select("h", "rep"), "h").select("key", "rep")
+    for nearest in (True, False):
+        here = members.join(groups, "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+        shares = here.groupBy("key", "comp").agg(F.count("*").alias("c"))
+        main = shares.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("all")).where(F.col("all") > F.col("main.c"))
+        rows = materialize(here.join(main, "key"), "open")
+        if not rows.limit(1).count():
+            break
+        rows = rows.withColumn("band", F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int")).join(sketches, ["rep", "band"]).join(sized.select("rep", "n"), "rep")
+        # blocks 0 .. m - 1 hold the largest component, which is not compared with itself, blocks m .. last the others
+        m, others = F.ceil(F.col("main.c") / block), F.ceil((F.col("all") - F.col("main.c")) / block)
+        largest = F.col("comp") == F.col("main.comp")
+        rows = rows.withColumn("m", m).withColumn("last", m + others - 1)
+        rows = rows.withColumn("own", F.when(largest, F.pmod(F.xxhash64("rep"), "m")).otherwise(F.col("m") + F.pmod(F.xxhash64("rep"), F.col("last") - F.col("m") + 1)))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.when(largest, F.col("m")).otherwise(F.lit(0)), "last")))
         rows = rows.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "rep", "comp", "n", "sketch")
         dealt = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep")
-        pairs = dealt.mapInPandas(_open_pairs(percent, tree), "a bigint, b bigint").distinct()
-        fresh = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        checked = materialize(checked.unionByName(verified(fresh)), "verified")
-    groups = components(checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-    reps = classes.select("digest", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    reps = reps.select("digest", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
-    out = described.select("doc_id", "n", "digest").join(reps, "digest", "left")
+        pairs = dealt.mapInPandas(_open_pairs(percent, nearest), "a bigint, b bigint").distinct()
+        fresh = materialize(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        if fresh.limit(1).count():
+            checked = materialize(checked.unionByName(verified(fresh)), "verified")
+            groups = grouped(checked)
+    drop(spark, star)
+    return described, classes.join(groups, "rep", "left").select("digest", "first", F.coalesce("comp", "rep").alias("comp"))
+
+
+def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id", block: int = BLOCK) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, class_id (smallest id with the same set) and component_id
+    (smallest id reachable by links of similarity >= percent / 100)."""
+    rows, classes = _classes(docs, n, percent, text_col, id_col, block)
+    least = classes.groupBy("comp").agg(F.min("first.doc_id").alias("component_id"))
+    named = classes.join(least, "comp").select("digest", F.col("first.doc_id").alias("class_id"), "component_id")
+    out = rows.join(named, "digest", "left")
     own = lambda c: F.coalesce(c, "doc_id").alias(c)
     return out.select("doc_id", F.col("n").alias("n_shingles"), own("class_id"), own("component_id"))
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the document with the smallest id."""
-    groups = similar_groups(docs, n, percent, text_col, id_col)
-    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("stay_id")).distinct()
-    return docs.join(stay, docs[id_col].cast("bigint") == stay["stay_id"], "left_semi")
+    """The rows of ``docs`` without near-duplicates, with their columns: of each component exactly one row stays, one with its smallest id
+    (a null id counts as the largest); of rows that agree in id and text it is one with the least hash of all columns.
+    Rows without words are components of their own and all stay."""
+    rows, classes = _classes(docs, n, percent, text_col, id_col, BLOCK)
+    first = classes.groupBy("comp").agg(F.min("first").alias("f")).select("f.doc_id", "f.th")
+    times = rows.groupBy("doc_id", "th").agg(F.count("*").alias("times")).where("times > 1")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("hash"))
+    repeated = times.select(F.col("doc_id").alias("id"), F.col("th").alias("hash"), F.lit(True).alias("many"))
+    stay = first.join(repeated, same, "left").select("doc_id", "th", F.coalesce("many", F.lit(False)).alias("many"))
+    stay = materialize(stay.unionByName(rows.where("digest is null").select("doc_id", "th").distinct().withColumn("many", F.lit(False))), "stay")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("input_row"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"))
+    kept = whole.join(stay, same)
+    out = kept.where("not many").select("input_row")
+    if stay.where("many").limit(1).count():
+        one = kept.where("many").groupBy("id", "hash").agg(F.min_by("input_row", F.xxhash64(F.to_json("input_row"))).alias("input_row"))
+        out = out.unionByName(one.select("input_row"))
+    return out.select("input_row.*")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
