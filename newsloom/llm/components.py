@@ -20,6 +20,8 @@ def components(links: DataFrame, label: str = "cc") -> DataFrame:
     """``links``: (u bigint, v bigint). Returns (node, component) of every node that has a link to another;
     component is the smallest node reachable. Each round is a written table; a hub's neighbours meet in a map-side minimum."""
     edges = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{label}-edges")
+    if not edges.limit(1).count():
+        return edges.toDF("node", "component")
     before = None
     while True:
         last, edges = edges, materialize(_star(_star(edges, True), False), label)

@@ -13,7 +13,7 @@ Members of a bucket first meet its pivot, not each other: pairs whose sizes and
 piece) allow the similarity are verified on the texts, first each document's closest one, then those that are not yet
 in one component. Where that does not put a bucket into one component, its members' sketches are compared block by
 block inside tasks, the largest component against the rest and the rest among themselves: first each member's
-closest one in another component, then, for what is still apart, all that the sketches allow. No link that
+closest one in another component, twice, then, for what is still apart, all that the sketches allow. No link that
 joins components is lost, and no task holds or returns all pairs of a bucket.
 
 Null, empty or wordless text has an empty set and links with nothing: its component is its own id. A text with fewer
@@ -186,10 +186,39 @@ def _promising(percent: int):
     return run
 
 
-def bucket_pairs(comp: np.ndarray, size: np.ndarray, sketch: np.ndarray, side: np.ndarray, percent: int, closest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (index, index) of a bucket's members in different components whose sizes and sketches allow the similarity.
-    ``side``: 0 and 1 for the two blocks of a split bucket (only pairs across count), else all 0.
-    With ``closest`` only each member's nearest one after it."""
+def bucket_pairs(comp: np.ndarray, size: np.ndarray, sketch: np.ndarray, side: np.ndarray, percent: int, closest: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(index, index, distance) of the pairs of a bucket's members in different components whose sizes and sketches allow the
+    similarity. ``side``: 0 and 1 for the two blocks of a split bucket (only pairs across count), else all 0.
+    With ``closest`` only each member's nearest one after it, and of these a forest over the components."""
+    if closest:
+        yield from _forest(comp, list(_allowed(comp, size, sketch, side, percent, True)))
+    else:
+        yield from _allowed(comp, size, sketch, side, percent, False)
+
+
+def _forest(comp: np.ndarray, found: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of pairs those that join components, the closest ones first, as if all were similar."""
+    if not found:
+        return
+    x, y, apart = (np.concatenate(c) for c in zip(*found, strict=True))
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = root.get(up, up)
+            c = up
+        return c
+
+    kept = []
+    for k in np.lexsort((y, x, apart)).tolist():
+        u, v = find(int(comp[x[k]])), find(int(comp[y[k]]))
+        if u != v:
+            root[u] = v
+            kept.append(k)
+    yield x[kept], y[kept], apart[kept]
+
+
+def _allowed(comp: np.ndarray, size: np.ndarray, sketch: np.ndarray, side: np.ndarray, percent: int, closest: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     split = side.any()
     for i in range(len(comp) - 1):
         rest = slice(i + 1, None)
@@ -201,10 +230,10 @@ def bucket_pairs(comp: np.ndarray, size: np.ndarray, sketch: np.ndarray, side: n
         apart = np.bitwise_count(sketch[at] ^ sketch[i]).sum(1, dtype=np.int64)
         near = apart <= most_apart(size[at] + size[i], percent)
         at, apart = at[near], apart[near]
-        if closest:
-            at = at[apart.argmin() : apart.argmin() + 1] if len(at) else at
+        if closest and len(at):
+            at, apart = at[[apart.argmin()]], apart[[apart.argmin()]]
         if len(at):
-            yield np.full(len(at), i), at
+            yield np.full(len(at), i), at, apart
 
 
 def _open_pairs(percent: int, closest: bool, most: int = 200_000):
@@ -229,8 +258,8 @@ def _open_pairs(percent: int, closest: bool, most: int = 200_000):
             if z - a < 2 or not (comp[a:z] != comp[a]).any():
                 continue
             bits = np.frombuffer(b"".join(sketch[a:z]), np.uint64).reshape(z - a, -1)
-            for i, j in bucket_pairs(comp[a:z], size[a:z], bits, side[a:z], percent, closest):
-                found.append((rep[a + i], rep[a + j]))
+            for i, j, apart in bucket_pairs(comp[a:z], size[a:z], bits, side[a:z], percent, closest):
+                found.append((rep[a + i], rep[a + j], apart))
                 rows += len(i)
                 if rows >= most:
                     yield frame(found)
@@ -238,8 +267,8 @@ def _open_pairs(percent: int, closest: bool, most: int = 200_000):
         yield frame(found)
 
     def frame(found: list) -> pd.DataFrame:
-        x, y = (np.concatenate([p[k] for p in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+        x, y, apart = (np.concatenate([p[k] for p in found]) if found else np.zeros(0, np.int64) for k in (0, 1, 2))
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "apart": apart})
 
     return run
 
@@ -324,10 +353,12 @@ def _classes(docs: DataFrame, n: int, percent: int, text_col: str, id_col: str,
         both = pairs.join(end("a"), "a", "left").join(end("b"), "b", "left")
         return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
-    # each set's closest candidate first: most components come about by few comparisons of texts
-    ends = near.select("a", "b", F.explode(F.array("a", "b")).alias("end"), "apart")
-    closest = ends.groupBy("end").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    checked = verified(materialize(closest, "pairs"))
+    def closest(pairs: DataFrame) -> DataFrame:
+        """Each set's closest pair: most components come about by few comparisons of texts."""
+        ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("end"), "apart")
+        return ends.groupBy("end").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+
+    checked = verified(materialize(closest(near), "pairs"))
     groups = grouped(checked)
     rest = materialize(apart_in(near.join(checked.select("a", "b"), ["a", "b"], "left_anti"), groups), "pairs")
     if rest.limit(1).count():
@@ -337,7 +368,7 @@ def _classes(docs: DataFrame, n: int, percent: int, text_col: str, id_col: str,
 
     # buckets of two are settled; larger ones are followed up where they are not in one component
     members = star.where("members > 2").join(sized.select("h", "rep"), "h").select("key", "rep")
-    for nearest in (True, False):
+    for nearest in (True, True, False):
         here = members.join(groups, "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
         shares = here.groupBy("key", "comp").agg(F.count("*").alias("c"))
         main = shares.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("all")).where(F.col("all") > F.col("main.c"))
@@ -353,7 +384,8 @@ def _classes(docs: DataFrame, n: int, percent: int, text_col: str, id_col: str,
         rows = rows.withColumn("other", F.explode(F.sequence(F.when(largest, F.col("m")).otherwise(F.lit(0)), "last")))
         rows = rows.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "rep", "comp", "n", "sketch")
         dealt = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep")
-        pairs = dealt.mapInPandas(_open_pairs(percent, nearest), "a bigint, b bigint").distinct()
+        found = dealt.mapInPandas(_open_pairs(percent, nearest), "a bigint, b bigint, apart bigint")
+        pairs = closest(found) if nearest else found.select("a", "b").distinct()
         fresh = materialize(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         if fresh.limit(1).count():
             checked = materialize(checked.unionByName(verified(fresh)), "verified")

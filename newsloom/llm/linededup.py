@@ -1,20 +1,20 @@
 """Substring dedup by hashing lines or paragraphs.
 
 A text is cut into units (lines by default, or paragraphs at blank lines). A unit is normalised
-(lower case, runs of white space to one space, trimmed) and digested. Units of at least ``min_words``
-words are grouped by digest over the whole table; the occurrence first in (rank, doc_id, offset) order stays and
-all others are removed together with the line break that ends them. Removed spans keep their offsets
-in the original text (code points, end exclusive).
+(lower case, runs of white space to one space, trimmed) and digested. Units of at least ``min_words`` words (by default
+every unit that is not blank) are grouped by digest over the whole table; the occurrence first in (rank, doc_id, offset)
+order stays and all others are removed together with the line break that ends them. Removed spans keep their
+offsets in the original text (code points, end exclusive).
 
 With ``runs``, as in op9 and in the pipeline, every unit that is not blank is grouped, and what counts is the run: later
 occurrences that follow each other in a text, blank units between them aside, are removed if they have ``min_words``
-words together. So a unit of that length always goes, and a shorter one where the passage around it repeats too. Blank
-units stay.
+words together. So a unit of that length always goes, and a shorter one where the passage around it repeats too; a short
+line that stands alone is left to documents that share nothing else. Blank units stay.
 
-Null text has no units and stays null; an empty text stays empty; repeated rows with one id count as
-one document's copies in order of their row number; ties of rank go to the smaller id. Other columns pass through,
-but for those named like an added one (n_units, n_removed, removed), which it replaces.
-Built-in functions find what is lost; only
+Null text has no units and stays null; an empty text stays empty; an empty table gives an empty result. Very long texts are
+cut whole. Repeated rows with one id count as one document's copies in order of their row number, whatever their texts;
+ties of rank go to the smaller id, and a null id comes first. Other columns pass through, but for those named like an
+added one (n_removed, removed, n_units), which it replaces. Built-in functions find what is lost; only
 documents that lose something are cut and joined again, in a pandas UDF. The group of a digest is reduced map-side to its first occurrence, so a very frequent
 line moves one row per task.
 """
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ._common import materialize
 
-MIN_WORDS = 12
+PASSAGE_WORDS = 12  # of the runs that op9 and the pipeline remove
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -79,9 +79,9 @@ def _rebuild(by: str, min_run: int):
     return run
 
 
-def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rank_col: str | None = None, by: str = "line", min_words: int = MIN_WORDS, runs: bool = False) -> DataFrame:
-    """``docs`` with the text replaced by what is kept, and n_units, n_removed and removed
-    (array of start, end in the original text) added."""
+def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rank_col: str | None = None, by: str = "line", min_words: int = 1, runs: bool = False) -> DataFrame:
+    """``docs`` with the text replaced by what is kept, and n_removed, removed (array of start, end in the
+    original text) and n_units added."""
     # the input row travels as one struct, so that none of its names can clash
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("input_row")
     held = materialize(docs.select(whole, F.monotonically_increasing_id().alias("u_row")), "line-rows")
@@ -91,7 +91,8 @@ def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     unit = cut.select("u_row", "id", "rank", F.posexplode("units").alias("pos", "unit")).withColumn("norm", _normal(F.col("unit")))
     words = F.size(F.split("norm", " "))
     compared = F.col("norm") != "" if runs else words >= min_words
-    keyed = unit.where(compared).select("u_row", "pos", F.unhex(F.md5("norm")).alias("digest"), "rank", "id", words.alias("words"))
+    # written once: the groups and the join back would else cut and digest every text twice
+    keyed = materialize(unit.where(compared).select("u_row", "pos", F.unhex(F.md5("norm")).alias("digest"), "rank", "id", words.alias("words")), "line-keys")
     place = F.struct("rank", "id", "u_row", "pos")
     first = keyed.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     again = keyed.join(first, "digest").where((F.col("u_row") != F.col("first.u_row")) | (F.col("pos") != F.col("first.pos")))
@@ -103,9 +104,9 @@ def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     out = out.withColumn("made", _rebuild(by, min_words if runs else 0)(F.when(lost, text), F.col("gone")))
     spans = F.arrays_zip(F.col("made.starts").alias("start"), F.col("made.ends").alias("end")).cast(SPANS)
     added = {
-        "n_units": F.when(text.isNull(), 0).otherwise(F.size(_units(text, by))).cast("long"),
         "n_removed": F.when(lost, F.size("made.starts")).otherwise(0).cast("long"),
         "removed": F.when(lost, spans).otherwise(F.array().cast(SPANS)),
+        "n_units": F.when(text.isNull(), 0).otherwise(F.size(_units(text, by))).cast("long"),
     }
     kept = F.when(lost, F.col("made.kept")).otherwise(text).alias(text_col)
     same = [kept if c == text_col else F.col("input_row")[c].alias(c) for c in docs.columns if c == text_col or c not in added]
@@ -113,4 +114,5 @@ def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), runs=True).select("doc_id", "n_units", "n_removed", "removed", F.col("text").alias("kept_text"))
+    found = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), runs=True, min_words=PASSAGE_WORDS)
+    return found.select("doc_id", "n_removed", "removed", F.col("text").alias("kept_text"))

@@ -200,14 +200,15 @@ def test_quality(docs):
         assert r.n_failed == sum(b & bit > 0 for b in got.fail_bits) and r.n_kept_without == sum(b & mask & ~bit == 0 for b in got.fail_bits)
 
 
-def test_line_dedup(docs):
+@pytest.mark.parametrize("least", [1, 12])
+def test_line_dedup(docs, least):
     seen = set()
-    got = by_id(linededup.line_dedup(docs))
+    got = by_id(linededup.line_dedup(docs, min_words=least))
     for i, t in enumerate(TEXTS):
         kept, spans, at = [], [], 0
         for u in re.split(r"(?<=\n)", t or ""):
             norm = re.sub(r"[\x20\x09-\x0D]+", " ", u.lower()).strip(" ")
-            if len(norm.split(" ")) >= linededup.MIN_WORDS and norm in seen:
+            if norm and len(norm.split(" ")) >= least and norm in seen:
                 spans.append((at, at + len(u)))
             else:
                 seen.add(norm)
@@ -233,13 +234,13 @@ def test_op9_removes_passages_of_short_lines(spark, tmp_path):
 def test_line_dedup_keeps_a_passage_inside_a_line(spark):
     passage = " ".join(f"word{k}" for k in range(60))
     texts = [f"{head} {passage} {tail}\n{passage}" for head, tail in (("one", "two"), ("three", "four"))]
-    got = linededup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), runs=True)
+    got = linededup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), runs=True, min_words=linededup.PASSAGE_WORDS)
     # the limit that the README states: only where the passage fills its line is it found
     assert {r.doc_id: r.text for r in got.collect()} == {0: texts[0], 1: f"three {passage} four\n"}
 
 
 def test_line_runs_are_brute_force(docs):
-    seen, got = set(), by_id(linededup.line_dedup(docs, runs=True))
+    seen, got = set(), by_id(linededup.line_dedup(docs, runs=True, min_words=linededup.PASSAGE_WORDS))
     for i, t in enumerate(TEXTS):
         units, again, filled = re.split(r"(?<=\n)", t or ""), set(), []
         for k, u in enumerate(units):
@@ -255,7 +256,7 @@ def test_line_runs_are_brute_force(docs):
                 lo -= 1
             while hi + 1 < len(filled) and filled[hi + 1] in again:
                 hi += 1
-            if k in again and sum(len(WORD.findall(units[x])) for x in filled[lo : hi + 1]) >= linededup.MIN_WORDS:
+            if k in again and sum(len(WORD.findall(units[x])) for x in filled[lo : hi + 1]) >= linededup.PASSAGE_WORDS:
                 lost.add(k)
         assert got.loc[i, "n_removed"] == len(lost)
         assert got.loc[i, "text"] == (None if t is None else "".join(u for k, u in enumerate(units) if k not in lost))
