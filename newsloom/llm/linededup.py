@@ -90,7 +90,7 @@ def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     cut = held.select("u_row", F.col("input_row")[id_col].alias("id"), rank.alias("rank"), _units(text, by).alias("units"))
     unit = cut.select("u_row", "id", "rank", F.posexplode("units").alias("pos", "unit")).withColumn("norm", _normal(F.col("unit")))
     words = F.size(F.split("norm", " "))
-    compared = F.col("norm") != "" if runs else words >= min_words
+    compared = (F.col("norm") != "") & (F.lit(runs) | (words >= min_words))
     # written once: the groups and the join back would else cut and digest every text twice
     keyed = materialize(unit.where(compared).select("u_row", "pos", F.unhex(F.md5("norm")).alias("digest"), "rank", "id", words.alias("words")), "line-keys")
     place = F.struct("rank", "id", "u_row", "pos")
