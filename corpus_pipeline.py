@@ -2,16 +2,25 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; its result is
 written as Parquet and read again. All but the last return the columns of ``documents``; the last one row per
-piece of a sequence. Documents of which nothing is left after the fourth stage go. No SQL expresses the trained
+piece of a sequence. Documents of which nothing is left after the fourth stage go. Null and empty texts fail the quality
+rules; rows of one id are told apart by their texts (of equal ones a single row stays); ties go to the smaller id, then
+the earlier row; very long texts are taken whole; an empty table gives an empty result; extra columns go along, whatever
+their names. No SQL expresses the trained
 and the tokenizing stages, so ORACLE_SQL is None and the tests compare with brute force.
 """
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsloom.llm import jaccard, linededup, packing, quality, toxicity
-from newsloom.llm._common import materialize
+from newsloom.llm._common import drop, materialize, scratch_scope
+
+_LAST = threading.local()
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,19 +49,33 @@ def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
+def _stage(name: str, function: Callable) -> tuple[str, Callable]:
+    """A stage that deletes what the stages before it left in the scratch folder: their results are written when it begins."""
+
+    @wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop(spark, *getattr(_LAST, "paths", ()))
+        with scratch_scope() as _LAST.paths:
+            return function(spark, docs, sf_dir)
+
+    return name, run
+
+
 STAGES = [
-    ("quality_rules", quality_rules),
-    ("toxicity", toxicity_filter),
-    ("ngram_jaccard", near_duplicates),
-    ("line_dedup", repeated_lines),
-    ("best_fit_packing", best_fit),
+    _stage("quality_rules", quality_rules),
+    _stage("toxicity", toxicity_filter),
+    _stage("ngram_jaccard", near_duplicates),
+    _stage("line_dedup", repeated_lines),
+    _stage("best_fit_packing", best_fit),
 ]
 
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        drop(spark, before)
+        before = docs
     return docs
