@@ -14,8 +14,10 @@ with what stands left of the anchors the group's repeated strings are settled, p
 groups, by digests of the strings in large ones. Grams more frequent than ``group_bound`` are not
 gathered: the digests of their strings are grouped by Spark.
 
-Null is the empty text; texts under ``length`` bytes lose nothing; repeated rows with one id count as
-copies. Ties do not matter, for every occurrence is removed. Extra columns are ignored.
+Null is the empty text; texts under ``length`` bytes lose nothing; an empty table gives an empty result. Very long texts are
+taken whole, by one task each. Rows are told apart by id and text: repeated rows of one id and one text count as copies,
+rows of one id with different texts are documents of their own, and null ids are allowed. Ties do not matter, for every
+occurrence is removed. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,14 +30,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import materialize
+from ._common import drop, materialize
 from .jaccard import mix
 from .pretokens import slices
 
 GRAM = 32
 PAIRWISE = 48  # groups up to this size compare their pairs
 GROUP_BOUND = 100_000
-RUN_ROWS = 20_000
+BUCKET_ROWS = 50_000  # about so many suffixes meet in a merge, at every size of input
+RUN_ROWS = 100_000  # suffixes that a task holds before it sends its runs
 CHUNK = 1 << 20
 _PLACE = np.uint64((1 << 21) - 1)
 _BASE = 0x9E3779B97F4A7C15
@@ -89,22 +92,22 @@ def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _describe(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             for b, held in slices(batch, "text"):
-                digests, sizes, grams, places, seen = [], [], [], [], set()
-                for text in held:
+                sizes, grams, places = [], [], []
+                for text, d in zip(held, b.column("digest").to_pylist(), strict=True):
                     raw = text.encode()
-                    d = hashlib.blake2b(raw, digest_size=16).digest()
+                    # of equal texts in a task the first one's anchors are enough
                     g, p = (None, None) if d in seen else anchors(raw, length)
+                    if len(seen) >= 400_000:
+                        seen.clear()
                     seen.add(d)
-                    digests.append(d)
                     sizes.append(len(raw))
                     grams.append(g)
                     places.append(p)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(grams, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64()))],
-                    ["doc_id", "digest", "n_bytes", "grams", "places"],
-                )
+                made = [pa.array(sizes, pa.int64()), pa.array(grams, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("key"), b.column("digest"), *made], ["row", "key", "digest", "n_bytes", "grams", "places"])
 
     return run
 
@@ -135,11 +138,12 @@ def _runs(length: int, buckets: int):
     reach = length - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[tuple]] = [[] for _ in range(buckets)]
+        held: dict[int, list[tuple]] = {}
+        rows_held, last = 0, None
 
         def flush(k: int) -> pa.RecordBatch:
-            rows, own, before, held[k] = [], [], None, sorted(held[k])
-            for r in held[k]:
+            rows, own, before = [], [], None
+            for r in sorted(held[k]):
                 if before is not None and r[:2] == before[:2]:
                     # all around both anchors is equal: their repeats are known here, and one goes on
                     low, high = max(0, length - len(r[0])), len(r[1])
@@ -148,7 +152,6 @@ def _runs(length: int, buckets: int):
                 else:
                     rows.append(r)
                 before = r
-            held[k] = []
             lcp, tail = front_coded([r[0] for r in rows])
             left = [r[1] for r in rows]
             cols = [lcp, tail, np.array([len(r[0]) for r in rows], "<u2").tobytes(), b"".join(left), np.array([len(x) for x in left], "<u2").tobytes()]
@@ -157,16 +160,17 @@ def _runs(length: int, buckets: int):
 
         for batch in batches:
             for b, texts in slices(batch, "text", most_rows=64):
-                for doc, text, grams, places in zip(b.column("doc_id").to_pylist(), texts, b.column("grams").to_pylist(), b.column("places").to_pylist(), strict=True):
-                    raw = text.encode()
+                for doc, text, grams, places in zip(b.column("row").to_pylist(), texts, b.column("grams").to_pylist(), b.column("places").to_pylist(), strict=True):
+                    if doc == last:  # a repeated row
+                        continue
+                    raw, last = text.encode(), doc
                     for g, p in zip(grams, places, strict=True):
-                        k = (g >> 20) % buckets
-                        held[k].append((raw[p : p + length], raw[max(0, p - reach) : p], doc, p))
-                        if len(held[k]) >= RUN_ROWS:
-                            yield flush(k)
-        for k in range(buckets):
-            if held[k]:
-                yield flush(k)
+                        held.setdefault((g >> 20) % buckets, []).append((raw[p : p + length], raw[max(0, p - reach) : p], doc, p))
+                    rows_held += len(grams)
+                    if rows_held >= RUN_ROWS:
+                        yield from map(flush, sorted(held))
+                        held, rows_held = {}, 0
+        yield from map(flush, sorted(held))
 
     return run
 
@@ -298,7 +302,7 @@ def _merged(length: int):
             lcps.append(lcp)
         close()
         doc, start, end = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-        return pd.DataFrame({"doc_id": doc, "start": start, "end": end})
+        return pd.DataFrame({"row": doc, "start": start, "end": end})
 
     return run
 
@@ -315,11 +319,14 @@ def _windows(length: int):
     reach = length - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             for b, texts in slices(batch, "text", most_rows=16, most_chars=200_000):
                 out: list[tuple] = []
-                for doc, text, places in zip(b.column("doc_id").to_pylist(), texts, b.column("places").to_pylist(), strict=True):
-                    raw = text.encode()
+                for doc, text, places in zip(b.column("row").to_pylist(), texts, b.column("places").to_pylist(), strict=True):
+                    if doc == last:  # a repeated row
+                        continue
+                    raw, last = text.encode(), doc
                     spans: dict[bytes, list] = {}
                     for s in sorted({s for p in places for s in range(max(0, p - reach), min(p, len(raw) - length) + 1)}):
                         # equal strings of one text meet here; their spans run together where they overlap
@@ -330,7 +337,7 @@ def _windows(length: int):
                         else:
                             seen.append({"start": s, "end": s + length})
                     out += [(doc, d, seen[0], seen[1:]) for d, seen in spans.items()]
-                kinds = [("doc_id", pa.int64()), ("digest", pa.binary()), ("times", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+                kinds = [("row", pa.int64()), ("digest", pa.binary()), ("times", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
 
     return run
@@ -362,29 +369,41 @@ def suffix_dedup(docs: DataFrame, length: int = 200, text_col: str = "text", id_
     """Per row: doc_id, n_bytes, kept (the bytes that stay), removed (start and end of the byte runs that go)."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    described = materialize(source.mapInArrow(_describe(length), "doc_id bigint, digest binary, n_bytes bigint, grams array<bigint>, places array<bigint>"), "anchors")
-    classes = described.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("grams", ignorenulls=True).alias("grams"), F.first("places", ignorenulls=True).alias("places"))
-    classes = materialize(classes, "texts")
-    at = classes.select("doc_id", F.explode(F.arrays_zip("grams", "places")).alias("a")).select("doc_id", F.col("a.grams").alias("gram"), F.col("a.places").alias("place"))
-    often = at.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    kept = at.join(often, "gram").groupBy("doc_id").agg(
+    # a row is known by its key, the digest of id and text
+    digest = F.md5("text")
+    source = source.withColumn("key", F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), digest))))
+    told = source.withColumn("digest", F.unhex(digest)).withColumn("row", F.monotonically_increasing_id())
+    described = materialize(told.mapInArrow(_describe(length), "row bigint, key binary, digest binary, n_bytes bigint, grams array<bigint>, places array<bigint>"), "anchors")
+    # a text goes by the least row that has it
+    classes = described.groupBy("digest").agg(
+        F.min(F.struct("row", "key")).alias("first"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("grams", ignorenulls=True).alias("grams"), F.first("places", ignorenulls=True).alias("places")
+    )
+    classes = materialize(classes.select("digest", "first.row", "first.key", "copies", "n_bytes", "grams", "places"), "texts")
+    copied = described.select("key", "digest", "n_bytes").join(classes.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("digest"), "digest")
+    copied = materialize(copied.select("key", "n_bytes").distinct(), "copied")
+    drop(spark, described)
+    at = classes.select("row", F.explode(F.arrays_zip("grams", "places")).alias("a")).select("row", F.col("a.grams").alias("gram"), F.col("a.places").alias("place"))
+    # stored, so that the join has two plain inputs and a very frequent gram's rows are dealt to several tasks
+    often = materialize(at.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "frequent")
+    kept = at.join(often, "gram").groupBy("row").agg(
         F.collect_list(F.when(F.col("n") <= group_bound, F.struct("gram", "place"))).alias("near"), F.collect_list(F.when(F.col("n") > group_bound, F.col("place"))).alias("hot")
     )
-    # one id may stand on several rows with different texts: the text is found by digest as well
-    wanted = materialize(kept, "repeated-anchors")
-    with_text = source.join(wanted, "doc_id")
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    runs = with_text.where(F.size("near") > 0).select("doc_id", "text", F.col("near.gram").alias("grams"), F.col("near.place").alias("places")).mapInArrow(_runs(length, buckets), RUN)
-    found = runs.groupBy("bucket").applyInPandas(_merged(length), "doc_id bigint, start bigint, end bigint")
-    if wanted.where(F.size("hot") > 0).limit(1).count():
-        strings = materialize(with_text.where(F.size("hot") > 0).select("doc_id", "text", F.col("hot").alias("places")).mapInArrow(_windows(length), "doc_id bigint, digest binary, times bigint, spans array<struct<start:bigint,end:bigint>>"), "hot-strings")
-        twice = strings.groupBy("digest").agg(F.sum("times").alias("n")).where("n > 1").select("digest")
-        found = found.unionByName(strings.join(twice, "digest").select("doc_id", F.inline("spans")))
-    # copies of a whole text lose all of it, if it is long enough
-    copied = described.join(classes.where("copies > 1").select("digest"), "digest").where(F.col("n_bytes") >= length).select("doc_id", F.lit(0).cast("bigint").alias("start"), F.col("n_bytes").alias("end"))
-    gone = found.unionByName(copied).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("gone"))
-    gone = materialize(gone, "repeats")
-    return source.join(gone, "doc_id", "left").mapInArrow(_cut, "doc_id bigint, n_bytes bigint, kept binary, removed array<struct<start:bigint,end:bigint>>")
+    wanted = materialize(kept.join(classes.select("row", "key"), "row"), "repeated-anchors")
+    with_text = source.select("key", "text").join(wanted, "key")
+    anchors_left, hot = wanted.agg(F.coalesce(F.sum(F.size("near")), F.lit(0)), F.coalesce(F.sum(F.size("hot")), F.lit(0))).first()
+    buckets = max(1, -(-anchors_left // BUCKET_ROWS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), anchors_left // 2000))
+    runs = with_text.where(F.size("near") > 0).select("row", "text", F.col("near.gram").alias("grams"), F.col("near.place").alias("places")).mapInArrow(_runs(length, buckets), RUN)
+    found = runs.groupBy("bucket").applyInPandas(_merged(length), "row bigint, start bigint, end bigint")
+    if hot:
+        strings = materialize(with_text.where(F.size("hot") > 0).select("row", "text", F.col("hot").alias("places")).mapInArrow(_windows(length), "row bigint, digest binary, times bigint, spans array<struct<start:bigint,end:bigint>>"), "hot-strings")
+        twice = materialize(strings.groupBy("digest").agg(F.sum("times").alias("n")).where("n > 1").select("digest"), "hot-repeats")
+        found = found.unionByName(strings.join(twice, "digest").select("row", F.inline("spans")))
+    # copies of a whole text lose all of it, if it is long enough; of the others each stands on one row
+    spans = found.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("gone")).join(classes.where("copies = 1").select("row", "key"), "row").select("key", "gone")
+    whole = copied.select("key", F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_bytes").alias("end"))).alias("gone"))
+    gone = materialize(spans.unionByName(whole), "repeats")
+    drop(spark, classes, often, wanted, copied)
+    return source.join(gone, "key", "left").select("doc_id", "text", "gone").mapInArrow(_cut, "doc_id bigint, n_bytes bigint, kept binary, removed array<struct<start:bigint,end:bigint>>")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
