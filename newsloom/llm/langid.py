@@ -2,13 +2,15 @@
 
 A text is a hashed bag of the byte trigrams of its lower-cased form; counts are damped by log and
 weighted by inverse document frequency over all learning rows. Each language's sample of at most
-``per_lang`` rows (chosen by hash of the id; the documented bound of this classifier) is clustered by spherical
+``per_lang`` rows (the least hashes of id and text; the documented bound of this classifier) is clustered by spherical
 k-means into several centroids, each with the similarity that its members reach. A text takes the language of
 its nearest centroid by cosine; where the cosine is below what that centroid's members reach, it is
 rejected.
 
-Text that is null or has no letter is ``und`` with score 0. Rows without lang do not teach. With no teaching rows
-everything is ``und``. Ties go to the first language by name. Long texts are counted in chunks, whole.
+Text that is null or has no letter is ``und`` with score 0. Rows without lang do not teach. With no teaching rows, as in an
+empty table, everything is ``und``. Ties go to the first language by name. Very long texts are counted in chunks, whole. Repeated rows
+count as often as they occur in the frequencies, but stand in the sample once; rows of one id with different texts are
+rows of their own, and rows without id teach the frequencies only. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -106,10 +108,15 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_co
     idf = (np.log((1 + n) / (1 + np.array([df.get(i, 0) for i in range(DIMS)]))) + 1).astype(np.float32)
     if not n:
         return Model(idf, [])
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = materialize(d.select("doc_id", "lang").withColumn("turn", turn).where(F.col("turn") <= per_lang).select("doc_id", "lang"), "lang-sample")
+    d = d.withColumn("th", F.xxhash64("text"))
+    # only hashes below about twice the share wanted reach the window, so its tasks do not grow with the table
+    rows_of = d.groupBy("lang").agg(F.count("*").alias("rows"))
+    near = d.where("doc_id is not null").select("doc_id", "th", "lang", F.xxhash64("doc_id", "th").alias("h")).join(rows_of, "lang").where(F.col("h") / 2.0**64 + 0.5 <= 2.0 * per_lang / F.col("rows"))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "th"))
+    ids = near.select("doc_id", "th", "lang", "h").distinct().withColumn("turn", turn).where(F.col("turn") <= per_lang)
+    ids = materialize(ids.select("doc_id", "th", "lang"), "lang-sample")
     # the sample is at most per_lang rows a language
-    sample = d.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
+    sample = d.join(ids, ["doc_id", "th", "lang"], "left_semi").dropDuplicates(["doc_id", "th", "lang"]).drop("th")
     made = sample.groupBy("lang").applyInPandas(_cluster(idf, clusters), "lang string, cluster int, bound double, centroid binary")
     return Model(idf, made.collect())
 

@@ -265,9 +265,9 @@ def test_line_runs_are_brute_force(docs):
 def test_toxicity_sample_is_the_least_hashes_of_each_label(spark):
     from pyspark.sql import Window, functions as F
 
-    rows = spark.range(90_000).select(F.col("id").alias("doc_id"), (F.col("id") % 10 == 0).cast("int").alias("toxic"))
-    turn = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    want = rows.withColumn("turn", turn).where(F.col("turn") <= toxicity.SAMPLE).select("doc_id")
+    rows = spark.range(90_000).select(F.col("id").alias("doc_id"), F.lit(3).cast("bigint").alias("th"), (F.col("id") % 10 == 0).cast("int").alias("toxic"))
+    turn = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", "th"), "doc_id"))
+    want = rows.withColumn("turn", turn).where(F.col("turn") <= toxicity.SAMPLE).select("doc_id", "th", "toxic")
     got = toxicity._sample_ids(rows, {0: 81_000, 1: 9_000})
     assert got.count() == 19_000 and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
