@@ -12,9 +12,10 @@ unrelated documents share by chance, stay out.
 Members of a bucket first meet its pivot, not each other: pairs whose sizes and narrow sketches (eight bits a
 piece) allow the similarity are verified on the texts, first each document's closest one, then those that are not yet
 in one component. Where that does not put a bucket into one component, its members' sketches are compared block by
-block inside tasks, the largest component against the rest and the rest among themselves: first each member's
-closest one in another component, twice, then, for what is still apart, all that the sketches allow. No link that
-joins components is lost, and no task holds or returns all pairs of a bucket.
+block inside tasks, the largest component against the rest and the rest among themselves. A block returns all pairs
+that its sketches allow where these are few, which settles it; else a forest of its components by each member's closest one, and
+the bucket comes up again with the components that result, in the third round with all pairs, in small frames. No link
+that joins components is lost, and no task holds all pairs of a bucket.
 
 Null, empty or wordless text has an empty set and links with nothing: its component is its own id. A text with fewer
 words than n has its whole sequence as its only n-gram. Very long texts are taken whole; a text's set is held in
@@ -62,7 +63,7 @@ class WordHashes(dict):
     """word -> 64-bit hash, bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
@@ -165,7 +166,7 @@ def _describe(n: int, percent: int):
                     # of equal sets in a task the first one's keys are enough
                     new = digest is not None and digest not in seen and percent < 100
                     bands.append(piece_keys(h, percent) if new else None)
-                    if len(seen) >= 400_000:
+                    if len(seen) >= 100_000:
                         seen.clear()
                     seen.add(digest)
                 made = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(names, pa.int64()), pa.array(bands, _BANDS_ARROW)]
@@ -186,14 +187,17 @@ def _promising(percent: int):
     return run
 
 
-def bucket_pairs(comp: np.ndarray, size: np.ndarray, sketch: np.ndarray, side: np.ndarray, percent: int, closest: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(index, index, distance) of the pairs of a bucket's members in different components whose sizes and sketches allow the
-    similarity. ``side``: 0 and 1 for the two blocks of a split bucket (only pairs across count), else all 0.
-    With ``closest`` only each member's nearest one after it, and of these a forest over the components."""
-    if closest:
-        yield from _forest(comp, list(_allowed(comp, size, sketch, side, percent, True)))
-    else:
-        yield from _allowed(comp, size, sketch, side, percent, False)
+def bucket_pairs(comp: np.ndarray, size: np.ndarray, sketch: np.ndarray, side: np.ndarray, percent: int, most: int | None) -> tuple[bool, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """(whether these are all, (index, index, distance) arrays) of the pairs of a bucket's members in different components whose
+    sizes and sketches allow the similarity. ``side``: 0 and 1 for the two blocks of a split bucket (only pairs across
+    count), else all 0. Where there are more than ``most``: of each member's nearest one after it those that make a forest of the components."""
+    found, n = [], 0
+    for pairs in _allowed(comp, size, sketch, side, percent, False):
+        found.append(pairs)
+        n += len(pairs[0])
+        if most is not None and n > most:
+            return False, list(_forest(comp, list(_allowed(comp, size, sketch, side, percent, True))))
+    return True, found
 
 
 def _forest(comp: np.ndarray, found: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -236,8 +240,12 @@ def _allowed(comp: np.ndarray, size: np.ndarray, sketch: np.ndarray, side: np.nd
             yield np.full(len(at), i), at, apart
 
 
-def _open_pairs(percent: int, closest: bool, most: int = 200_000):
-    """Rows sorted by (key, bi, bj): the promising pairs of each bucket or block of one."""
+OPEN = "key bigint, a bigint, b bigint, apart bigint, whole boolean"
+
+
+def _open_pairs(percent: int, forests: bool, most: int = 200_000):
+    """Rows sorted by (key, bi, bj): the promising pairs of each bucket or block of one; ``whole``: all of them are there, as is
+    always so without ``forests``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -251,24 +259,22 @@ def _open_pairs(percent: int, closest: bool, most: int = 200_000):
 
     def settled(f: pd.DataFrame, starts) -> Iterator[pd.DataFrame]:
         """Pairs of all groups but the one after the last start, which may go on in the next frame."""
-        rep, comp, size, sketch = (f[c].to_numpy() for c in ("rep", "comp", "n", "sketch"))
+        key, rep, comp, size, sketch = (f[c].to_numpy() for c in ("key", "rep", "comp", "n", "sketch"))
         side = (f["own"] != f["bi"]).to_numpy().astype(np.int8)
         found, rows = [], 0
         for a, z in zip(starts[:-1], starts[1:], strict=True):
             if z - a < 2 or not (comp[a:z] != comp[a]).any():
                 continue
             bits = np.frombuffer(b"".join(sketch[a:z]), np.uint64).reshape(z - a, -1)
-            for i, j, apart in bucket_pairs(comp[a:z], size[a:z], bits, side[a:z], percent, closest):
-                found.append((rep[a + i], rep[a + j], apart))
+            whole, pairs = bucket_pairs(comp[a:z], size[a:z], bits, side[a:z], percent, 2 * int(z - a) if forests else None)
+            for i, j, apart in pairs:
+                found.append(pd.DataFrame({"key": key[a], "a": np.minimum(rep[a + i], rep[a + j]), "b": np.maximum(rep[a + i], rep[a + j]), "apart": apart, "whole": whole}))
                 rows += len(i)
                 if rows >= most:
-                    yield frame(found)
+                    yield pd.concat(found)
                     found, rows = [], 0
-        yield frame(found)
-
-    def frame(found: list) -> pd.DataFrame:
-        x, y, apart = (np.concatenate([p[k] for p in found]) if found else np.zeros(0, np.int64) for k in (0, 1, 2))
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "apart": apart})
+        if found:
+            yield pd.concat(found)
 
     return run
 
@@ -368,14 +374,11 @@ def _classes(docs: DataFrame, n: int, percent: int, text_col: str, id_col: str,
 
     # buckets of two are settled; larger ones are followed up where they are not in one component
     members = star.where("members > 2").join(sized.select("h", "rep"), "h").select("key", "rep")
-    for nearest in (True, True, False):
+    for forests in (True, True, False):
         here = members.join(groups, "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
         shares = here.groupBy("key", "comp").agg(F.count("*").alias("c"))
         main = shares.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("all")).where(F.col("all") > F.col("main.c"))
-        rows = materialize(here.join(main, "key"), "open")
-        if not rows.limit(1).count():
-            break
-        rows = rows.withColumn("band", F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int")).join(sketches, ["rep", "band"]).join(sized.select("rep", "n"), "rep")
+        rows = here.join(main, "key").withColumn("band", F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int")).join(sketches, ["rep", "band"]).join(sized.select("rep", "n"), "rep")
         # blocks 0 .. m - 1 hold the largest component, which is not compared with itself, blocks m .. last the others
         m, others = F.ceil(F.col("main.c") / block), F.ceil((F.col("all") - F.col("main.c")) / block)
         largest = F.col("comp") == F.col("main.comp")
@@ -384,12 +387,19 @@ def _classes(docs: DataFrame, n: int, percent: int, text_col: str, id_col: str,
         rows = rows.withColumn("other", F.explode(F.sequence(F.when(largest, F.col("m")).otherwise(F.lit(0)), "last")))
         rows = rows.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "rep", "comp", "n", "sketch")
         dealt = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep")
-        found = dealt.mapInPandas(_open_pairs(percent, nearest), "a bigint, b bigint, apart bigint")
-        pairs = closest(found) if nearest else found.select("a", "b").distinct()
+        found = materialize(dealt.mapInPandas(_open_pairs(percent, forests), OPEN), "open")
+        pairs = found.where("whole").select("a", "b").unionByName(closest(found.where("not whole"))).distinct()
         fresh = materialize(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         if fresh.limit(1).count():
-            checked = materialize(checked.unionByName(verified(fresh)), "verified")
-            groups = grouped(checked)
+            new = verified(fresh)
+            checked = materialize(checked.unionByName(new), "verified")
+            if new.where("linked").limit(1).count():
+                groups = grouped(checked)
+        # a bucket whose pairs were all returned is settled
+        again = found.where("not whole").select("key").distinct()
+        if not again.limit(1).count():
+            break
+        members = materialize(members.join(again, "key", "left_semi"), "members")
     drop(spark, star)
     return described, classes.join(groups, "rep", "left").select("digest", "first", F.coalesce("comp", "rep").alias("comp"))
 

@@ -53,7 +53,7 @@ class _Tokenizer:
         self.special = {t.content for t in self.lib.get_added_tokens_decoder().values()}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else lambda t: [t]
         self.split = splitter()
-        self.cache = IdCache(self._encode)
+        self.cache = IdCache(self._encode, 300_000)
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         # without offsets, which nothing here asks for

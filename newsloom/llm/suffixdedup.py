@@ -100,7 +100,7 @@ def _describe(length: int):
                     raw = text.encode()
                     # of equal texts in a task the first one's anchors are enough
                     g, p = (None, None) if d in seen else anchors(raw, length)
-                    if len(seen) >= 400_000:
+                    if len(seen) >= 100_000:
                         seen.clear()
                     seen.add(d)
                     sizes.append(len(raw))

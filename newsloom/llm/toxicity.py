@@ -41,7 +41,7 @@ _LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 class TermHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = value = xxhash.xxh32_intdigest(word) >> (32 - BITS)
         return value
