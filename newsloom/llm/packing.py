@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._common import materialize
-from .pretokens import IdCache, slices, splitter
+from .pretokens import slices, splitter
 
 TOKENIZER = "byte_bpe_50k.json"
 SEQ_LEN = 2048
@@ -42,22 +42,44 @@ SUB_BITS = 8  # groups of one partition
 ID_BITS = 29  # bins of a group (24), then the round (5)
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte -> the letter that stands for it in byte-level vocabularies: printable ones themselves, the others from code point 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(others)) for b in range(256)}
+
+
+class _Ids(dict):
+    """Piece -> its ids as little-endian unsigned 32-bit bytes, of bounded size. Emptied when full: that never changes results."""
+
+    def __init__(self, lib, special: set[str], most: int = 300_000):
+        super().__init__()
+        self.lib, self.model, self.special, self.most, self.letters = lib, lib.model, special, most, _byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        if piece in self.special:
+            ids = self.lib.encode(piece, add_special_tokens=False).ids
+        else:
+            # the library's merges alone: a piece needs no more splitting
+            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        self[piece] = found = _little(ids)
+        return found
+
+
 class _Tokenizer:
-    """Ids of whole texts by the tokenizers library, asked once for each distinct piece between special strings."""
+    """Ids of whole texts by the tokenizers library, asked for each distinct piece between special strings."""
 
     def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.lib = Tokenizer.from_file(public_tokenizers.path(name))
-        self.special = {t.content for t in self.lib.get_added_tokens_decoder().values()}
+        lib = Tokenizer.from_file(public_tokenizers.path(name))
+        self.special = {t.content for t in lib.get_added_tokens_decoder().values()}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else lambda t: [t]
         self.split = splitter()
-        self.cache = IdCache(self._encode, 300_000)
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        # without offsets, which nothing here asks for
-        return [_little(e.ids) for e in self.lib.encode_batch_fast(pieces, add_special_tokens=False)]
+        self.cache = _Ids(lib, self.special)
 
     def _pieces(self, text: str) -> list[str]:
         # the library cuts special strings out of a text before all else
@@ -65,8 +87,7 @@ class _Tokenizer:
 
     def ids(self, held: list[str]) -> list[bytes]:
         """Ids of each text; equal texts are encoded once."""
-        distinct = list(dict.fromkeys(held))
-        found = dict(zip(distinct, self.cache.ids([self._pieces(t) for t in distinct]), strict=True))
+        found = {t: b"".join(map(self.cache.__getitem__, self._pieces(t))) for t in dict.fromkeys(held)}
         return [found[t] for t in held]
 
 
