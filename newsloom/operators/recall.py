@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import config
-from .similarity import knn_edges, top_edges
+from .similarity import knn_edges, nearest, top_edges
 from .split import recent, sequence
 
 
@@ -52,21 +52,16 @@ def vector_recall_unseen(vectors: DataFrame, click: DataFrame, query: DataFrame,
     n = F.posexplode("vec").alias("dim", "x")
     mean = h.join(vectors.withColumnRenamed("article_id", "item"), "item").select("user_id", n).groupBy("user_id", "dim").agg(F.avg("x").alias("x"))
     user = mean.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("vec"))
-    # users are points below all item ids, so that the one block join serves both
-    both = vectors.unionByName(user.select((-1 - F.col("user_id")).alias("article_id"), "vec"))
-    near = knn_edges_between(both, k + over)
+    near = knn_users(user, vectors, k + over)
     seen = click.select("user_id", F.col("click_article_id").alias("article_id")).distinct()
-    got = top_per_user(near.select((-1 - F.col("item_i")).alias("user_id"), F.col("item_j").alias("article_id"), F.col("sim").alias("sim_score")), k + over)
-    known = top_per_user(got.join(seen, ["user_id", "article_id"], "left_anti"), k)
+    known = top_per_user(near.join(seen, ["user_id", "article_id"], "left_anti"), k)
     return labelled(known.unionByName(cold_fallback(click, query, k)), query)
 
 
-def knn_edges_between(both: DataFrame, k: int) -> DataFrame:
-    """Nearest items (ids from 0) of the points with negative ids."""
-    users = both.where("article_id < 0")
-    items = both.where("article_id >= 0")
-    edges = knn_edges(items.unionByName(users), k + users.count(), users)
-    return edges.where("item_j >= 0")
+def knn_users(users: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """The k articles nearest to each of ``users`` (user_id, vec)."""
+    near = nearest(users.select("user_id", "vec"), vectors, k)
+    return near.select(F.col("item_i").alias("user_id"), F.col("item_j").alias("article_id"), F.col("sim").alias("sim_score"))
 
 
 def cold_fallback(click: DataFrame, query: DataFrame, k: int) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-
 def _by_user(newest_first: bool):
     order = [F.desc(c) if newest_first else F.col(c) for c in ("click_timestamp", "event_id")]
     return Window.partitionBy("user_id").orderBy(*order)
@@ -45,7 +44,9 @@ def sequence(click: DataFrame) -> DataFrame:
 
 def recent(click: DataFrame, n: int) -> DataFrame:
     """user_id, loc, item: the last n clicks, newest at loc 0."""
-    return sequence(click).where(F.col("loc") < n).select("user_id", "loc", F.col("click_article_id").alias("item"))
+    # numbered from the newest, so that the limit works in each task before the exchange
+    d = click.withColumn("turn", F.row_number().over(_by_user(True))).where(F.col("turn") <= n)
+    return d.select("user_id", (F.col("turn") - 1).cast("bigint").alias("loc"), F.col("click_article_id").alias("item"))
 
 
 def prefix_samples(click: DataFrame) -> DataFrame:

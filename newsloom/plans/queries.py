@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import config, sources
 from ..operators import features as ft, ranking, recall as rc, similarity as sm, split as sp
 from .sql import oracle
 
 
+COLD = config.ColdStart()
+
+
+def _seeded(edges: DataFrame, t: Tables, p: config.ItemCf | config.Swing) -> DataFrame:
+    return rc.seeded_recall(edges, t.click, t.query, p.seeds, p.top_m, p.seed_decay, p.k)
+
+
 class Tables:
     """Lazy inputs and derived tables of one data directory."""
 
@@ -30,13 +40,13 @@ class Tables:
         return sm.knn_edges(self.vectors, config.EMB_TOP)
 
     def itemcf_c(self):
-        return rc.seeded_recall(self.cf, self.click, self.query, 2, 200, 0.7, 100)
+        return _seeded(self.cf, self, config.ItemCf())
 
     def swing_c(self):
-        return rc.seeded_recall(self.swing, self.click, self.query, 2, 80, 0.7, 50)
+        return _seeded(self.swing, self, config.Swing())
 
     def coarse(self):
-        return rc.seeded_recall(self.knn, self.click, self.query, 3, 200, 0.7, 300, "none")
+        return rc.seeded_recall(self.knn, self.click, self.query, COLD.seeds, COLD.top_m, COLD.seed_decay, COLD.raw_k, "none")
 
     def w2v_c(self):
         return rc.vector_recall_last(self.vectors, self.click, self.query)
@@ -44,15 +54,18 @@ class Tables:
     def cold_c(self):
         return rc.cold_recall(self.knn, self.click, self.query, self.articles)
 
+    def unseen_c(self):
+        return rc.vector_recall_unseen(self.vectors, self.click, self.query)
+
     def channels(self):
         return {"itemcf": self.itemcf_c(), "w2v": self.w2v_c(), "swing": self.swing_c(), "cold_start": self.cold_c()}
 
     def fused(self):
-        """The channels that SQL can follow."""
-        return rc.fuse(self.channels())
+        """All five channels; the user vectors of the fifth are means of given vectors, which SQL can follow."""
+        return rc.fuse(self.channels() | {"youtubednn": self.unseen_c()})
 
     def fused_all(self):
-        """All five channels; the learned one has no SQL."""
+        """All five channels; the user vectors of the fifth are learned."""
         return rc.fuse(self.channels() | {"youtubednn": ranking.als_recall(self.click, self.query)})
 
     def pred(self):
@@ -100,8 +113,14 @@ DIFF_SQL = "created // 1000 - lcr as user_last_click_created_at_ts_diff, created
 
 
 def _held(d: DataFrame) -> DataFrame:
-    """``d`` computed once and without its plan, which many small jobs would carry along; in the checkpoint folder if there is one."""
-    return d.checkpoint() if d.sparkSession.sparkContext.getCheckpointDir() else d.localCheckpoint()
+    """``d`` computed once and without its plan, which many small jobs would carry along; in the checkpoint folder (``spark.checkpoint.dir``),
+    in local mode (tests) in a temporary one where that is unset."""
+    context = d.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="newsloom-"))
+    return d.checkpoint()
 
 
 def _ranker_rows(t: Tables) -> tuple[list[str], DataFrame]:
@@ -130,6 +149,7 @@ def _last_diff(t: Tables) -> DataFrame:
     return ft.with_last_diffs(d)
 
 
+PERCENTILES = (10, 25, 50, 75, 90, 95, 99)
 DIFFS = ["user_last_click_created_at_ts_diff", "user_last_click_timestamp_diff", "user_last_click_words_count_diff"]
 
 REGISTRY: dict[str, tuple] = {
@@ -163,7 +183,7 @@ REGISTRY: dict[str, tuple] = {
     "l2_normalize": (lambda t: t.vectors.select("article_id", F.posexplode(sm.normalized(F.col("vec"))).alias("dim", "x")).select("article_id", F.col("dim").cast("bigint").alias("dim"), F.round("x", 9).alias("x")), oracle("select item as article_id, unnest(range(0, len(v))) as dim, round(unnest(list_transform(v, lambda x: x / norm)), 9) as x from vecs")),
     "emb_i2i_sim": (lambda t: t.knn, oracle("select i as item_i, j as item_j, sim from knn")),
     "vector_recall_last": (lambda t: _cand(t.w2v_c()), oracle(C.format("w2v_c"))),
-    "vector_recall_unseen": (lambda t: rc.vector_recall_unseen(t.vectors, t.click, t.query), None),
+    "vector_recall_unseen": (lambda t: t.unseen_c(), oracle("select user_id, article_id, sim_score, label from unseen_c")),
     "user_profile": (lambda t: rc.user_profile(t.click, t.articles).select("user_id", F.size("cats").cast("bigint").alias("n_cats"), F.round("mean_words", 5).alias("mean_words"), "last_created"), oracle("select user_id, cast(coalesce(len(cats), 0) as bigint) as n_cats, round(mw, 5) as mean_words, lc as last_created from prof")),
     "cold_coarse": (lambda t: _cand(t.coarse()), oracle(C.format("coarse"))),
     "cold_soft_score": (lambda t: _cand(rc.soft_scored(t.coarse(), t.click, t.articles)), oracle(C.format("soft"))),
@@ -173,10 +193,10 @@ REGISTRY: dict[str, tuple] = {
     "user_filter": (lambda t: _cand(rc.keep_users(t.fused())), oracle(C.format("fused") + " where user_id in (select user_id from fused group by 1 having count(*) filter (label is null) > 0 or sum(label) = 1)")),
     "eval_fused": (lambda t: _eval(rc.evaluate(t.fused(), t.query)), oracle(EV.format("fused"))),
     "recall_overlap": (lambda t: rc.overlap(t.itemcf_c(), t.swing_c()).select(F.round("overlap", 6).alias("overlap")), oracle("select round(count(b.user_id) / count(*), 6) as overlap from itemcf_c a left join (select distinct user_id, article_id from swing_c) b using (user_id, article_id)")),
-    "recall_count_percentiles": (lambda t: t.fused().groupBy("user_id").agg(F.count("*").alias("n")).agg(*[F.expr(f"percentile(n, {p / 100})").alias(f"p{p}") for p in (10, 25, 50, 75, 90)]), oracle("select " + ", ".join(f"quantile_cont(n, {p / 100}e0) as p{p}" for p in (10, 25, 50, 75, 90)) + " from (select user_id, cast(count(*) as double) as n from fused group by 1)")),
-    "label_distribution": (lambda t: t.fused().groupBy("label").count().withColumnRenamed("count", "n"), oracle("select label, count(*) as n from fused group by label")),
+    "recall_count_percentiles": (lambda t: t.fused().groupBy("user_id").agg(F.count("*").alias("n")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"), F.median("n").alias("median"), *[F.expr(f"percentile(n, {p / 100})").alias(f"p{p}") for p in PERCENTILES]), oracle("select cast(min(n) as bigint) as least, cast(max(n) as bigint) as most, round(avg(n), 6) as mean, median(n) as median, " + ", ".join(f"quantile_cont(n, {p / 100}e0) as p{p}" for p in PERCENTILES) + " from (select user_id, cast(count(*) as double) as n from fused group by 1)")),
+    "label_distribution": (lambda t: t.fused().where("label is not null").groupBy("label").count().withColumnRenamed("count", "n"), oracle("select label, count(*) as n from fused where label is not null group by label")),
     "group_sizes": (lambda t: t.fused().groupBy("user_id").agg(F.count("*").alias("n")), oracle("select user_id, count(*) as n from fused group by 1")),
-    "cold_user_fallback": (lambda t: rc.cold_fallback(t.click, t.query, 50).withColumn("sim_score", F.round("sim_score", 6)), oracle("select user_id, article_id, round(1e0 - rn * 0.01e0, 6) as sim_score from (select distinct user_id from query where user_id not in (select user_id from click where user_id % 7 <> 0)) cross join (select item as article_id, row_number() over (order by count(*) desc, item) - 1 as rn from click where user_id % 7 <> 0 group by item order by count(*) desc, item limit 50)")),
+    "cold_user_fallback": (lambda t: rc.cold_fallback(t.click, t.query, 50).withColumn("sim_score", F.round("sim_score", 6)), oracle("select user_id, article_id, round(1e0 - rn * 0.01e0, 6) as sim_score from (select distinct user_id from query where user_id not in (select user_id from click)) cross join (select item as article_id, row_number() over (order by count(*) desc, item) - 1 as rn from click group by item order by count(*) desc, item limit 50)")),
     "feat_article_meta": (lambda t: t.articles.select("article_id", "category_id", "words_count", F.floor(F.col("created_at_ts") / 1000).alias("created_at_ts"), F.timestamp_seconds(F.floor(F.col("created_at_ts") / 1000)).cast("timestamp_ntz").alias("created_at_datetime")), oracle("select item as article_id, cat as category_id, words as words_count, created // 1000 as created_at_ts, make_timestamp(created // 1000 * 1000000) as created_at_datetime from arts")),
     "feat_user_stats_v3": (lambda t: _rounded(ft.user_stats(t.click, t.articles).drop("last_category")), oracle(f"select user_id, {STAT_SQL} from us")),
     "feat_user_stats_baseline": (lambda t: _rounded(ft.user_stats_baseline(t.click, t.articles)), oracle(f"select user_id, {BASE_SQL} from usb")),
@@ -200,9 +220,9 @@ REGISTRY: dict[str, tuple] = {
     "submission_top5": (
         lambda t: ranking.submission(t.pred(), t.query.where("click_article_id = -1"), t.click),
         oracle("select user_id, " + ", ".join(f"max(article_id) filter (rn = {i}) as article_{i}" for i in range(1, 6)) + """ from (select *, row_number() over (partition by user_id order by src, round(s, 9) desc, article_id) as rn from (
-          select user_id, article_id, s, src from (select user_id, article_id, sim_score as s, 0 as src, row_number() over (partition by user_id order by round(sim_score, 9) desc, article_id) as r0 from fused where article_id % 3 = 0) where r0 <= 5 and user_id in (select user_id from query where target = -1)
+          select user_id, article_id, s, src from (select user_id, article_id, sim_score as s, 0 as src, row_number() over (partition by user_id order by round(sim_score, 9) desc, article_id) as r0 from fused) where r0 <= 5 and user_id in (select user_id from query where target = -1)
           union all select q.user_id, p.item, p.n, 1 from (select distinct user_id from query where target = -1) q cross join (select item, cast(count(*) as double) as n from click group by item order by n desc, item limit 10) p
-            where not exists (select 1 from (select user_id, article_id, row_number() over (partition by user_id order by round(sim_score, 9) desc, article_id) as r0 from fused where article_id % 3 = 0) o where o.r0 <= 5 and o.user_id = q.user_id and o.article_id = p.item))) group by user_id""")),
+            where not exists (select 1 from (select user_id, article_id, row_number() over (partition by user_id order by round(sim_score, 9) desc, article_id) as r0 from fused) o where o.r0 <= 5 and o.user_id = q.user_id and o.article_id = p.item))) group by user_id""")),
     "neg_sampling_prob": (lambda t: _rounded(ranking.negative_sampling_prob(t.click), 9), oracle("select item as article_id, round(p, 9) as p, round(ln(p + 1e-10), 9) as log_q from (select item, power(c, 0.75e0) / sum(power(c, 0.75e0)) over () as p from cnt)")),
     "item2vec_train": (lambda t: ranking.item2vec(t.click), None),
     "als_recall": (lambda t: ranking.als_recall(t.click, t.query), None),

@@ -38,7 +38,12 @@ PARTS = {
     "w2v_raw": "select s.user_id, k.j as article_id, k.sim as sim_score from seq s join query using (user_id) join (select i, j, sim from (select *, row_number() over (partition by i order by sim desc, j) as r2 from (select a.item as i, b.item as j, round(list_inner_product(a.v, b.v) / (a.norm * b.norm), 9) as sim from vecs a, vecs b)) where r2 <= 100 and i <> j) k on k.i = s.item where s.loc = 0",
     "w2v_l": "select w.*, case when target <> -1 then cast(article_id = target as integer) end as label from w2v_raw w join query using (user_id)",
     "w2v_c": "@top(w2v_l,50)",
-    "fused_s": "select user_id, article_id, sum(s) as sim_score, max(label) as label from (@mm(itemcf_c,1.0) union all @mm(w2v_c,0.2) union all @mm(swing_c,0.8) union all @mm(cold_c,0.06)) group by 1, 2",
+    "un_mean": "select user_id, list(x order by dim) as v from (select user_id, dim, avg(x) as x from (select s.user_id, unnest(range(0, len(v))) as dim, unnest(v) as x from seq s join query using (user_id) join vecs on vecs.item = s.item where s.loc < 30) group by 1, 2) group by 1",
+    "un_near": "select user_id, article_id, sim_score from (select *, row_number() over (partition by user_id order by sim_score desc, article_id) as rk from (select m.user_id, x.item as article_id, round(list_inner_product(m.v, x.v) / (sqrt(list_sum(list_transform(m.v, lambda z: z * z))) * x.norm), 9) as sim_score from un_mean m, vecs x)) where rk <= 100",
+    "un_known": "select user_id, article_id, sim_score from (select n.*, row_number() over (partition by user_id order by sim_score desc, article_id) as rk from un_near n where not exists (select 1 from click z where z.user_id = n.user_id and z.item = n.article_id)) where rk <= 50",
+    "un_cold": "select user_id, p.item as article_id, 1e0 - rn * 0.01e0 as sim_score from (select distinct user_id from query where user_id not in (select user_id from click)) cross join (select item, row_number() over (order by c desc, item) - 1 as rn from cnt order by c desc, item limit 50) p",
+    "unseen_c": "select user_id, article_id, sim_score, case when target <> -1 then cast(article_id = target as integer) end as label from (select * from un_known union all select * from un_cold) join query using (user_id)",
+    "fused_s": "select user_id, article_id, sum(s) as sim_score, max(label) as label from (@mm(itemcf_c,1.0) union all @mm(w2v_c,0.2) union all @mm(swing_c,0.8) union all @mm(cold_c,0.06) union all @mm(unseen_c,0.01)) group by 1, 2",
     "fused": "@top(fused_s,150)",
     "ck": "select s.*, cat, words, created // 1000 as cr, t // 1000 as sec, (t // 1000 // 3600) % 24 as hour from seq s left join arts using (item)",
     "lag_": "select *, sec - lag(sec) over (partition by user_id order by pos) as ds, cr - lag(cr) over (partition by user_id order by pos) as dc, t / 1e3 - lag(t / 1e3) over (partition by user_id order by pos) as df from ck",

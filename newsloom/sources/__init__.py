@@ -52,6 +52,18 @@ def read_articles(df: DataFrame) -> DataFrame:
     return df.select(col("article_id").alias("article_id"), col("category_id").alias("category_id"), F.coalesce(col("created_at_ts"), F.lit(0)).alias("created_at_ts"), F.coalesce(col("words_count"), F.lit(0)).alias("words_count"))
 
 
+def read_articles_csv(spark: SparkSession, path: str) -> DataFrame:
+    return read_articles(spark.read.csv(path, header=True))
+
+
+def read_edges(spark: SparkSession, path: str) -> DataFrame:
+    """A stored similarity table: item_i, item_j, sim."""
+    d = spark.read.parquet(path)
+    if missing := {"item_i", "item_j", "sim"} - set(d.columns):
+        raise ValueError(f"edge table has no {', '.join(sorted(missing))}")
+    return d.select("item_i", "item_j", "sim")
+
+
 def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 

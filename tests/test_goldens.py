@@ -1,0 +1,127 @@
+"""Results worked out by hand, and the readers and writers of files."""
+
+import math
+
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from newsloom import config, sources
+from newsloom.operators import features, ranking, recall, similarity, split
+
+
+def clicks(spark, rows):
+    return spark.createDataFrame([(u, a, t, k) for k, (u, a, t) in enumerate(rows)], "user_id bigint, click_article_id bigint, click_timestamp bigint, event_id bigint")
+
+
+def edges(df):
+    return {(r.item_i, r.item_j): r.sim for r in df.collect()}
+
+
+def cand(spark, rows):
+    return spark.createDataFrame(rows, "user_id bigint, article_id bigint, sim_score double, label int")
+
+
+def test_co_occurrence(spark):
+    got = edges(similarity.itemcf_edges(clicks(spark, [(1, 10, 1), (1, 20, 2), (2, 10, 1), (2, 20, 2)])))
+    assert got == pytest.approx({(10, 20): 0.9102392266, (20, 10): 0.6371674586})
+    got = edges(similarity.itemcf_edges(clicks(spark, [(1, 10, 1), (1, 20, 2), (1, 10, 3)])))
+    assert got == pytest.approx({(10, 20): 0.867118, (20, 10): 0.867118}, abs=1e-6)
+
+
+def test_user_pairs(spark):
+    got = edges(similarity.swing_edges(clicks(spark, [(1, 10, 1), (1, 20, 2), (2, 10, 1), (2, 20, 2)])))
+    assert got == pytest.approx({(10, 20): 2 / 3, (20, 10): 2 / 3})
+
+
+def test_min_max(spark):
+    rows = cand(spark, [(1, 1, 3.0, 0), (1, 2, 2.0, 0), (1, 3, 1.0, 0), (2, 1, 2.0, 0), (2, 2, 2.0, 0)])
+    got = {(r.user_id, r.article_id): r.sim_score for r in recall.minmax(rows).collect()}
+    assert got == pytest.approx({(1, 1): 1.001, (1, 2): 0.501, (1, 3): 0.001, (2, 1): 1.001, (2, 2): 1.001})
+
+
+def test_metrics(spark):
+    query = spark.createDataFrame([(1, 100), (2, 200), (3, 300), (4, -1)], "user_id bigint, click_article_id bigint")
+    rows = [(1, 100, 1.0, 1), *[(2, k, 1.0 - k / 10, 0) for k in range(5)], (2, 200, 0.1, 1), (3, 1, 1.0, 0)]
+    got = {r.k: (r.hr, r.mrr) for r in recall.evaluate(cand(spark, rows), query).collect()}
+    assert got[5] == pytest.approx((1 / 3, 1 / 3)) and got[10] == pytest.approx((2 / 3, 7 / 18))
+
+
+def test_cold_score(spark):
+    day = int(config.ColdStart.day)
+    articles = spark.createDataFrame([(1, 7, 1000, 500), (2, 7, 1000 + 120 * day, 750), (3, 8, None, None)], "article_id bigint, category_id bigint, created_at_ts bigint, words_count bigint")
+    rows = cand(spark, [(1, 2, 0.8, None), (2, 3, 0.8, None)])
+    click = clicks(spark, [(1, 1, 1), (3, 2, 1), (2, 2, 1)])
+    got = {r.article_id: r.sim_score for r in recall.soft_scored(rows, click, articles).collect()}
+    assert got[2] == pytest.approx(0.7310914971)
+    p = config.ColdStart(words_weight=0.0, fresh_weight=0.0)
+    assert {r.article_id: r.sim_score for r in recall.soft_scored(rows, click, articles, p).collect()}[3] == pytest.approx(0.68)
+
+
+def test_repeated_seed(spark):
+    edge = spark.createDataFrame([(5, 6, 0.5)], "item_i bigint, item_j bigint, sim double")
+    query = spark.createDataFrame([(1, -1)], "user_id bigint, click_article_id bigint")
+    got = recall.seeded_recall(edge, clicks(spark, [(1, 5, 1), (1, 5, 2)]), query, 2, 10, 0.7, 10).collect()
+    assert [(r.article_id, r.label) for r in got] == [(6, None)] and got[0].sim_score == pytest.approx(0.85)
+
+
+def test_prefixes_and_padding(spark):
+    click = clicks(spark, [*[(1, a, a) for a in (1, 2, 3, 4)], (2, 1, 1), (2, 2, 2), (3, 9, 1)])
+    got = {(r.user_id, r.target, r.is_test): r.hist for r in split.prefix_samples(click).collect()}
+    assert got == {(1, 2, 0): [1], (1, 3, 0): [2, 1], (1, 4, 1): [3, 2, 1], (2, 2, 1): [1], (3, 9, 0): [9], (3, 9, 1): [9]}
+    pads = spark.range(1).select(split.padded(F.array(*map(F.lit, (5, 4, 3))).cast("array<bigint>"), 5).alias("a"), split.padded(F.array(*map(F.lit, (5, 4, 3))).cast("array<bigint>"), 2).alias("b")).first()
+    assert (pads.a, pads.b) == ([5, 4, 3, 0, 0], [5, 4])
+
+
+def test_statistics_of_nulls_and_single_rows(spark):
+    articles = spark.createDataFrame([(1, None, None, 5), (2, None, None, None)], "article_id bigint, category_id bigint, created_at_ts bigint, words_count bigint")
+    click = clicks(spark, [(1, 1, 1000), (1, 2, 2000)])
+    stats, base = features.user_stats(click, articles).first(), features.user_stats_baseline(click, articles).first()
+    assert stats.user_clicked_category_nunique == 0 and stats.user_click_last_article_words_count == 5 and base.last_words is None
+    assert features.user_stats(clicks(spark, [(1, 1, 1000)]), articles).first().user_click_datetime_hour_std is None
+
+
+def test_user_filter(spark):
+    rows = cand(spark, [(u, k, 1.0, y) for u, ys in enumerate([(0, 0), (0, 1), (1, 1), (None, None)]) for k, y in enumerate(ys)])
+    assert {r.user_id for r in recall.keep_users(rows).collect()} == {1, 3}
+
+
+def test_integer_types_are_strict(spark):
+    rows = spark.createDataFrame([(0, 0), (126, 127)], "a int, b int")
+    assert {r.column: r.type for r in features.column_profile(rows, ["a", "b"]).collect()} == {"a": "int8", "b": "int16"}
+
+
+def test_sampling_probabilities(spark):
+    got = {r.article_id: r.p for r in ranking.negative_sampling_prob(clicks(spark, [(k, 1, k) for k in range(16)] + [(99, 2, 1)])).collect()}
+    assert got == pytest.approx({1: 8 / 9, 2: 1 / 9})
+
+
+def test_zero_norm_is_no_neighbour(spark):
+    got = spark.range(1).select(features.cosine(F.array(F.lit(0.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(2.0))).alias("c")).first().c
+    assert got == -1.0
+
+
+def test_nearest_cuts_ties_by_id(spark):
+    vectors = spark.createDataFrame([(k, [1.0, float(k % 3)]) for k in range(12)], "article_id bigint, vec array<double>")
+    asked = spark.createDataFrame([(7, [2.0, 0.0])], "user_id bigint, vec array<double>")
+    got = [(r.item_j, round(r.sim, 6)) for r in similarity.nearest(asked, vectors, 6, block=5).orderBy(F.desc("sim"), "item_j").collect()]
+    assert got == [(k, 1.0) for k in (0, 3, 6, 9)] + [(k, round(1 / math.sqrt(2), 6)) for k in (1, 4)]
+    assert recall.knn_users(asked, vectors, 3).count() == 3
+
+
+def test_files(spark, tmp_path):
+    pd.DataFrame({"user_id": [1, 2], "click_article_id": [10, 20], "click_timestamp": [1000, 2000]}).to_csv(tmp_path / "clicks.csv", index=False)
+    assert [tuple(r) for r in sources.read_clicks_csv(spark, str(tmp_path / "clicks.csv")).orderBy("user_id").collect()] == [(1, 10, 1000), (2, 20, 2000)]
+    pd.DataFrame({"article_id": [3], "emb_0": [0.5], "emb_1": [-1.0]}).to_csv(tmp_path / "emb.csv", index=False)
+    assert sources.read_embeddings_csv(spark, str(tmp_path / "emb.csv")).first().embedding == [0.5, -1.0]
+    pd.DataFrame({"click_article_id": [4], "category": [2], "words": [None]}).to_csv(tmp_path / "articles.csv", index=False)
+    assert tuple(sources.read_articles_csv(spark, str(tmp_path / "articles.csv")).first()) == (4, 2, 0, 0)
+    pd.DataFrame({"other": [1]}).to_csv(tmp_path / "bad.csv", index=False)
+    for read in (sources.read_embeddings_csv, sources.read_articles_csv):
+        with pytest.raises(ValueError, match="no"):
+            read(spark, str(tmp_path / "bad.csv"))
+    edge = spark.createDataFrame([(5, 6, 0.5)], "item_i bigint, item_j bigint, sim double")
+    sources.write_table(edge, str(tmp_path / "edges"))
+    assert edges(sources.read_edges(spark, str(tmp_path / "edges"))) == {(5, 6): 0.5}
+    sources.write_csv(edge, str(tmp_path / "out"))
+    assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 1

@@ -8,12 +8,7 @@ from newsloom.plans import queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["events", "embeddings", "documents", "orders"]
-#: One query of each kind; the driver compares all of them at a larger scale.
-CHECKED = [
-    "clicks_view", "articles_view", "split_train", "split_query", "query_sentinel", "user_sequence", "prefix_history", "pad_sequence", "itemcf_sim", "itemcf_recall",
-    "eval_itemcf", "swing_sim", "swing_recall", "emb_i2i_sim", "vector_recall_last", "cold_recall", "minmax_channel", "fuse_recall", "recall_overlap",
-    "feat_user_stats_v3", "feature_baseline", "memory_profile", "neg_sampling_prob", "submission_top5",
-]
+CHECKED = sorted(queries.oracle_sql())
 
 
 def rows(frame):

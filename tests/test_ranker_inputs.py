@@ -16,6 +16,7 @@ def test_ranker_candidates_have_all_five_channels(spark, monkeypatch):
     learned = spark.createDataFrame([(user, known, 3.0, None)], "user_id bigint, article_id bigint, sim_score double, label int")
     monkeypatch.setattr(queries.ranking, "als_recall", lambda click, query: learned)
     monkeypatch.setattr(queries.Tables, "channels", lambda self: {"itemcf": self.itemcf_c().limit(0)})
+    monkeypatch.setattr(queries.Tables, "unseen_c", lambda self: learned.limit(0))
     assert set(scores(t.fused())) == set()
     got = scores(t.fused_all())
     assert list(got) == [(user, known)] and abs(got[user, known] - 0.01 * (1 + config.EPS)) < 1e-9
