@@ -14,6 +14,7 @@ class ItemCf:
     top_m: int = 200
     seed_decay: float = 0.7
     k: int = 100
+    block: int = 1000  # positions of a user that share a join key
 
 
 @dataclass(frozen=True)
@@ -53,6 +54,41 @@ class Fusion:
     k: int = 150
 
 
+@dataclass(frozen=True)
+class Negatives:
+    power: float = 0.75
+    unit: int = 1 << 20  # weights are whole multiples of 1 / unit
+    attempts: int = 10
+    seed: int = 2020
+
+
+@dataclass(frozen=True)
+class TwoTower:
+    dim: int = 32
+    hidden: int = 128
+    length: int = 30
+    negatives: int = 1000
+    pool: int = 4096  # negatives drawn for a shard in an epoch
+    epochs: int = 3
+    batch: int = 256
+    rate: float = 1e-3
+    clip: float = 1.0
+    temperature: float = 1.0
+    shard_rows: int = 20000  # bound of the samples that meet in one task
+    seed: int = 2020
+
+
+@dataclass(frozen=True)
+class LambdaRank:
+    folds: int = 5
+    trees: int = 10
+    depth: int = 5
+    rate: float = 0.3
+    patience: int = 3
+    min_rows: int = 5
+    seed: int = 2020
+
+
 EVAL_AT = (5, 10, 20, 40, 50)
 EMB_TOP = 200
 VECTOR_K = 50

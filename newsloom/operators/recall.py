@@ -52,7 +52,12 @@ def vector_recall_unseen(vectors: DataFrame, click: DataFrame, query: DataFrame,
     n = F.posexplode("vec").alias("dim", "x")
     mean = h.join(vectors.withColumnRenamed("article_id", "item"), "item").select("user_id", n).groupBy("user_id", "dim").agg(F.avg("x").alias("x"))
     user = mean.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("vec"))
-    near = knn_users(user, vectors, k + over)
+    return recall_by_vectors(user, vectors, click, query, k, over)
+
+
+def recall_by_vectors(users: DataFrame, vectors: DataFrame, click: DataFrame, query: DataFrame, k: int = config.VECTOR_K, over: int = config.OVERFETCH) -> DataFrame:
+    """The k + over articles nearest to each user's vector (user_id, vec), clicked ones dropped, first k kept; users without history get popular items."""
+    near = knn_users(users, vectors, k + over)
     seen = click.select("user_id", F.col("click_article_id").alias("article_id")).distinct()
     known = top_per_user(near.join(seen, ["user_id", "article_id"], "left_anti"), k)
     return labelled(known.unionByName(cold_fallback(click, query, k)), query)
@@ -133,6 +138,15 @@ def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     return d.agg((F.count("hit") / F.count("*")).alias("overlap"))
 
 
+def overlaps(channels: dict[str, DataFrame]) -> DataFrame:
+    """a, b, overlap of every two channels, from one pass over their distinct candidates."""
+    tagged = reduce(DataFrame.unionByName, [d.select("user_id", "article_id", F.lit(n).alias("a")) for n, d in channels.items()]).distinct()
+    hits = tagged.join(tagged.withColumnRenamed("a", "b"), ["user_id", "article_id"]).groupBy("a", "b").agg(F.count("*").alias("hits"))
+    whole = hits.where("a = b").select("a", F.col("hits").alias("size"))
+    two = whole.crossJoin(whole.select(F.col("a").alias("b"))).where("a <> b")  # a row for every two channels
+    return two.join(hits, ["a", "b"], "left").select("a", "b", (F.coalesce("hits", F.lit(0)) / F.col("size")).alias("overlap"))
+
+
 def evaluate(cand: DataFrame, query: DataFrame, at: tuple[int, ...] = config.EVAL_AT) -> DataFrame:
     """Per k: hit rate and mean reciprocal rank over all users with a known target."""
     total = query.where("click_article_id <> -1").agg(F.count_distinct("user_id").alias("total"))

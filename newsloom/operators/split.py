@@ -67,8 +67,20 @@ def padded(hist, length: int):
 def ordinal(df: DataFrame, col: str) -> DataFrame:
     """value -> 1-based rank among the sorted distinct values (0 stays free for padding). Ranks are numbered per range
     partition and shifted by the partitions' counts, so that no single task sees all values."""
-    d = df.select(col).where(F.col(col).isNotNull()).distinct().repartitionByRange(col).withColumn("part", F.spark_partition_id())
+    d = df.select(col).where(F.col(col).isNotNull()).distinct().repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), col).withColumn("part", F.spark_partition_id())
     d = d.withColumn("rn", F.row_number().over(Window.partitionBy("part").orderBy(col)))
     sizes = d.groupBy("part").agg(F.max("rn").alias("size"))
     before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return d.join(F.broadcast(before), "part").select(col, (F.col("rn") + F.col("before")).cast("bigint").alias("code"))
+
+
+def category_codes(df: DataFrame, columns: list[str], most: int = 64) -> DataFrame:
+    """``df`` with every one of the text ``columns`` that has at most ``most`` distinct values (null counts as one) replaced by the
+    value's place in alphabetical order, from 0; null becomes -1. Columns with more values stay."""
+    few = df.agg(*[(F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(c) for c in columns]).first()
+    for c in columns:
+        if (few[c] or 0) <= most:
+            # at most ``most`` values
+            values = df.agg(F.array_sort(F.collect_set(c)).alias("all")).select("all")
+            df = df.crossJoin(F.broadcast(values)).withColumn(c, F.coalesce(F.array_position("all", F.col(c)) - 1, F.lit(-1)).cast("int")).drop("all")
+    return df

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import config, sources
-from ..operators import features as ft, ranking, recall as rc, similarity as sm, split as sp
+from ..operators import features as ft, lambdarank as lr, negatives, ranking, recall as rc, similarity as sm, split as sp, twotower as tt
+from ..storage import held as _held, scratch
 from .sql import oracle
 
 
@@ -25,7 +23,7 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.all_clicks, self.articles, self.vectors = sources.clicks(spark, sf_dir), sources.articles(spark, sf_dir), sources.vectors(spark, sf_dir)
         self.click, self.query = sp.split(self.all_clicks)
-        self.spark = spark
+        self.spark, self.dir = spark, sf_dir
 
     @property
     def cf(self):
@@ -68,6 +66,16 @@ class Tables:
         """All five channels; the user vectors of the fifth are learned."""
         return rc.fuse(self.channels() | {"youtubednn": ranking.als_recall(self.click, self.query)})
 
+    def two_tower_c(self):
+        return tt.two_tower_recall(self.click, self.query)
+
+    def fused_two_tower(self):
+        """All five channels, the fifth from the two-tower model."""
+        return rc.fuse(self.channels() | {"youtubednn": self.two_tower_c()})
+
+    def texts(self):
+        return self.spark.read.parquet(f"{self.dir}/documents.parquet")
+
     def pred(self):
         """A stand-in prediction for the ranking glue."""
         return self.fused().select("user_id", "article_id", F.col("sim_score").alias("pred"))
@@ -112,20 +120,9 @@ SIM_SQL = "round(coalesce(e1.sim, 0e0), 5) as user_last_click_article_itemcf_sim
 DIFF_SQL = "created // 1000 - lcr as user_last_click_created_at_ts_diff, created // 1000 - lsec as user_last_click_timestamp_diff, words - lw as user_last_click_words_count_diff, coalesce(cast(cat = lcat as integer), 0) as same_as_last_category"
 
 
-def _held(d: DataFrame) -> DataFrame:
-    """``d`` computed once and without its plan, which many small jobs would carry along; in the checkpoint folder (``spark.checkpoint.dir``),
-    in local mode (tests) in a temporary one where that is unset."""
-    context = d.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="newsloom-"))
-    return d.checkpoint()
-
-
-def _ranker_rows(t: Tables) -> tuple[list[str], DataFrame]:
+def _ranker_rows(t: Tables, fused: DataFrame | None = None) -> tuple[list[str], DataFrame]:
     """The feature table of the candidates, and its columns to learn from in sorted order."""
-    cand = rc.keep_users(_held(t.fused_all()))
+    cand = rc.keep_users(_held(t.fused_all() if fused is None else fused))
     rows = ft.feature_v3(cand, t.click, t.articles, t.cf, t.swing, t.knn, t.vectors).drop("created_at_datetime")
     return sorted(c for c in rows.columns if c != "label"), rows
 
@@ -137,6 +134,27 @@ def _gbt(t: Tables) -> tuple[ranking.Ranker, DataFrame, DataFrame]:
     return ranker, ranker.fit_oof(rows.where("label is not null")), rows.where("label is null")
 
 
+def _lambda(t: Tables) -> tuple[lr.LambdaRanker, DataFrame, DataFrame]:
+    cols, rows = _ranker_rows(t, t.fused_two_tower())
+    rows = _held(rows.select("label", *cols))
+    ranker = lr.LambdaRanker(cols)
+    return ranker, ranker.fit_oof(rows.where("label is not null")), rows.where("label is null")
+
+
+def _lambda_online(t: Tables) -> DataFrame:
+    """Open rows scored by models that were stored and loaded again."""
+    ranker, _, rows = _lambda(t)
+    scratch(t.spark)
+    path = f"{t.spark.sparkContext.getCheckpointDir()}/lambda-models"
+    ranker.save(t.spark, path)
+    return lr.LambdaRanker.load(t.spark, path).predict(rows)
+
+
+def _negatives(t: Tables) -> DataFrame:
+    s = tt.model_input(t.click, 30).select(F.concat_ws(":", "user_id", "pos").alias("key"), "target")
+    return negatives.draw(s, t.click, 10).withColumn("slot", F.col("slot").cast("bigint"))
+
+
 def _last_sims(t: Tables) -> DataFrame:
     d = t.fused().select("user_id", "article_id")
     for name, e in (("itemcf", t.cf), ("swing", t.swing), ("emb_i2i", t.knn)):
@@ -224,6 +242,26 @@ REGISTRY: dict[str, tuple] = {
           union all select q.user_id, p.item, p.n, 1 from (select distinct user_id from query where target = -1) q cross join (select item, cast(count(*) as double) as n from click group by item order by n desc, item limit 10) p
             where not exists (select 1 from (select user_id, article_id, row_number() over (partition by user_id order by round(sim_score, 9) desc, article_id) as r0 from fused) o where o.r0 <= 5 and o.user_id = q.user_id and o.article_id = p.item))) group by user_id""")),
     "neg_sampling_prob": (lambda t: _rounded(ranking.negative_sampling_prob(t.click), 9), oracle("select item as article_id, round(p, 9) as p, round(ln(p + 1e-10), 9) as log_q from (select item, power(c, 0.75e0) / sum(power(c, 0.75e0)) over () as p from cnt)")),
+    "negative_samples": (_negatives, oracle("""select key, slot, coalesce(d.item, f.item) as article_id from (
+        select key, slot, h, n, nth, list_filter(us, lambda u: u < lo or u >= lo + w)[1] as u from (
+          select key, slot, lo, w, nth, ng_size.n, ('0x' || substr(md5(concat_ws('-', key, slot, 10, 2020)), 1, 15))::bigint as h,
+            list_transform(range(0, 10), lambda a: ('0x' || substr(md5(concat_ws('-', key, slot, a, 2020)), 1, 15))::bigint % total) as us
+          from (select concat_ws(':', user_id, pos) as key, item as target, unnest(range(0, 10)) as slot from seq where (pos > 0 and loc > 0) or n = 1) s join ng_line on ng_line.item = s.target cross join ng_size)) q
+        left join ng_line d on q.u >= d.lo and q.u < d.lo + d.w left join ng_line f on q.u is null and f.nth = q.h % (q.n - 1) + cast(q.h % (q.n - 1) >= q.nth as bigint) where q.n > 1""")),
+    "model_input": (
+        lambda t: tt.model_input(t.click, 30).select("user_id", "pos", "target", "hist_len", F.posexplode(sp.padded(F.col("hist"), 30)).alias("at", "item")).where("at < 30").withColumn("at", F.col("at").cast("bigint")).groupBy("user_id", "pos", "target", "hist_len").agg(F.sum(F.col("item") * (F.col("at") + 1)).alias("checksum")),
+        oracle("select a.user_id, a.pos, a.item as target, case when a.n = 1 then 1 else least(a.pos, 30) end as hist_len, cast(sum(b.item * (case when a.n = 1 then 1 else a.pos - b.pos end)) as bigint) as checksum from seq a join seq b on a.user_id = b.user_id and (a.n = 1 or (b.pos < a.pos and b.pos >= a.pos - 30)) where (a.pos > 0 and a.loc > 0) or a.n = 1 group by all")),
+    "category_codes": (
+        lambda t: sp.category_codes(t.texts().select("doc_id", "lang", "source"), ["lang", "source"]),
+        "select doc_id, cast(case when lang is null then -1 else (select count(distinct lang) from documents b where b.lang < d.lang) end as integer) as lang, cast(case when source is null then -1 else (select count(distinct source) from documents b where b.source < d.source) end as integer) as source from documents d"),
+    "channel_overlap": (
+        lambda t: rc.overlaps(t.channels() | {"youtubednn": t.unseen_c()}).withColumn("overlap", F.round("overlap", 6)),
+        oracle("select x.a, y.a as b, round((select count(*) from ov o join ov o2 using (user_id, article_id) where o.a = x.a and o2.a = y.a) / x.n, 6) as overlap from (select a, count(*) as n from ov group by a) x, (select distinct a from ov) y where x.a <> y.a")),
+    "two_tower_vectors": (lambda t: tt.train(t.click).select("kind", "id", "vec"), None),
+    "two_tower_recall": (lambda t: t.two_tower_c(), None),
+    "lambda_rank": (lambda t: _lambda(t)[1], None),
+    "lambda_online": (_lambda_online, None),
+    "lambda_importance": (lambda t: _lambda(t)[0].importance(t.spark), None),
     "item2vec_train": (lambda t: ranking.item2vec(t.click), None),
     "als_recall": (lambda t: ranking.als_recall(t.click, t.query), None),
     "gbt_rank": (lambda t: _gbt(t)[1], None),

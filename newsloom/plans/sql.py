@@ -43,6 +43,10 @@ PARTS = {
     "un_known": "select user_id, article_id, sim_score from (select n.*, row_number() over (partition by user_id order by sim_score desc, article_id) as rk from un_near n where not exists (select 1 from click z where z.user_id = n.user_id and z.item = n.article_id)) where rk <= 50",
     "un_cold": "select user_id, p.item as article_id, 1e0 - rn * 0.01e0 as sim_score from (select distinct user_id from query where user_id not in (select user_id from click)) cross join (select item, row_number() over (order by c desc, item) - 1 as rn from cnt order by c desc, item limit 50) p",
     "unseen_c": "select user_id, article_id, sim_score, case when target <> -1 then cast(article_id = target as integer) end as label from (select * from un_known union all select * from un_cold) join query using (user_id)",
+    "ov": "select distinct user_id, article_id, a from (select user_id, article_id, 'itemcf' as a from itemcf_c union all select user_id, article_id, 'w2v' from w2v_c union all select user_id, article_id, 'swing' from swing_c union all select user_id, article_id, 'cold_start' from cold_c union all select user_id, article_id, 'youtubednn' from unseen_c)",
+    "ng_w": "select item, cast(greatest(1, floor(power(c, 0.75e0) * 1048576)) as bigint) as w from cnt",
+    "ng_line": "select item, w, cast(sum(w) over (order by md5(cast(item as varchar))) - w as bigint) as lo, row_number() over (order by md5(cast(item as varchar))) - 1 as nth from ng_w",
+    "ng_size": "select cast(sum(w) as bigint) as total, count(*) as n from ng_w",
     "fused_s": "select user_id, article_id, sum(s) as sim_score, max(label) as label from (@mm(itemcf_c,1.0) union all @mm(w2v_c,0.2) union all @mm(swing_c,0.8) union all @mm(cold_c,0.06) union all @mm(unseen_c,0.01)) group by 1, 2",
     "fused": "@top(fused_s,150)",
     "ck": "select s.*, cat, words, created // 1000 as cr, t // 1000 as sec, (t // 1000 // 3600) % 24 as hour from seq s left join arts using (item)",

@@ -41,6 +41,22 @@ def read_embeddings_csv(spark: SparkSession, path: str) -> DataFrame:
     return d.select(F.col("article_id").cast("bigint").alias("article_id"), F.array(*[F.col(f"`{c}`").cast("float") for c in d.columns if c != "article_id"]).alias("embedding"))
 
 
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """article_id, embedding from a wide CSV or from Parquet, by the name's ending."""
+    if path.rstrip("/").endswith(".csv"):
+        return read_embeddings_csv(spark, path)
+    if path.rstrip("/").endswith(".parquet"):
+        return spark.read.parquet(path).select("article_id", "embedding")
+    raise ValueError(f"neither .csv nor .parquet: {path}")
+
+
+def required(df: DataFrame, name: str) -> DataFrame:
+    """``df``, or an error where it has no row."""
+    if df.isEmpty():
+        raise ValueError(f"{name} is empty")
+    return df
+
+
 def read_articles(df: DataFrame) -> DataFrame:
     """An article table with known alternative column names; absent columns become null, words and creation time 0 where null."""
     def found(name: str):
