@@ -58,7 +58,8 @@ def token_counts(docs: DataFrame, cache: str, text_col: str = "text", id_col: st
     return measured.join(known, "digest").select("doc_id", "n_bytes", "n_tokens")
 
 
-def op2(spark, sf_dir: str) -> DataFrame:
+def op2(spark, sf_dir: str, cache: str | None = None) -> DataFrame:
+    """``cache``: a table that outlives the run, whose counts are then reused; without it the run has one of its own and counts every text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    counted = token_counts(docs, scratch_path(spark, "token-cache"))
+    counted = token_counts(docs, cache or scratch_path(spark, "token-cache"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
