@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, langid, linededup, maxscore, packing, quality, suffixdedup, tokencount, toxicity
+from . import bpe, fillmiddle, jaccard, langid, linededup, maxscore, merkle, packing, quality, suffixdedup, tokencount, toxicity
 
 QUERIES = {
     "op1_maxscore_topk": maxscore.op1,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_bpe": bpe.op8,
     "op9_line_dedup": linededup.op9,
     "op10_toxicity": toxicity.op10,
+    "op11_fill_in_middle": fillmiddle.op11,
+    "op12_merkle_manifest": merkle.op12,
 }
 
 ORACLE_SQL = {
     "op1_maxscore_topk": maxscore.OP1_SQL,
     "op7_quality_rules": quality.OP7_SQL,
+    "op11_fill_in_middle": fillmiddle.OP11_SQL,
+    "op12_merkle_manifest": merkle.OP12_SQL,
 }
