@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fillmiddle, jaccard, langid, linededup, maxscore, merkle, packing, quality, suffixdedup, tokencount, toxicity
+from . import bpe, fillmiddle, jaccard, langid, linededup, maxscore, merkle, neighbours, packing, quality, suffixdedup, tokencount, toxicity
 
 QUERIES = {
     "op1_maxscore_topk": maxscore.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10,
     "op11_fill_in_middle": fillmiddle.op11,
     "op12_merkle_manifest": merkle.op12,
+    "op13_quality_classifier": neighbours.op13,
 }
 
 ORACLE_SQL = {
