@@ -109,11 +109,11 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_co
     if not n:
         return Model(idf, [])
     d = d.withColumn("th", F.xxhash64("text"))
-    # only hashes below about twice the share wanted reach the window, so its tasks do not grow with the table
-    rows_of = d.groupBy("lang").agg(F.count("*").alias("rows"))
-    near = d.where("doc_id is not null").select("doc_id", "th", "lang", F.xxhash64("doc_id", "th").alias("h")).join(rows_of, "lang").where(F.col("h") / 2.0**64 + 0.5 <= 2.0 * per_lang / F.col("rows"))
+    known = materialize(d.where("doc_id is not null").select("doc_id", "th", "lang").distinct(), "lang-rows")
+    # of these rows, each met once, only hashes below about twice the share wanted reach the window, so its tasks do not grow with the table
+    near = known.withColumn("h", F.xxhash64("doc_id", "th")).join(known.groupBy("lang").agg(F.count("*").alias("rows")), "lang").where(F.col("h") / 2.0**64 + 0.5 <= 2.0 * per_lang / F.col("rows"))
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "th"))
-    ids = near.select("doc_id", "th", "lang", "h").distinct().withColumn("turn", turn).where(F.col("turn") <= per_lang)
+    ids = near.withColumn("turn", turn).where(F.col("turn") <= per_lang)
     ids = materialize(ids.select("doc_id", "th", "lang"), "lang-sample")
     # the sample is at most per_lang rows a language
     sample = d.join(ids, ["doc_id", "th", "lang"], "left_semi").dropDuplicates(["doc_id", "th", "lang"]).drop("th")

@@ -180,3 +180,31 @@ def test_a_cluster_without_shared_folder_is_an_error(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         _common.shared_dir(Session())
+
+
+def test_language_sample_is_full_under_repeats_and_null_ids(spark):
+    rng = random.Random(6)
+    text = lambda k: " ".join("".join(rng.choices({"a": "abcdefg", "b": "mnopqrs"}[k], k=4)) for _ in range(20))
+    data = [(i, text("a"), "a") for i in range(40)] + [(100 + i, text("b"), "b") for i in range(40)]
+    rows = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
+    copies = spark.range(4000).selectExpr("39L as doc_id", f"'{data[39][1]}' as text", "'a' as lang")
+    unnamed = spark.range(4000).selectExpr("cast(null as bigint) as doc_id", "concat('abc def ', id) as text", "'a' as lang")
+    docs = rows.unionByName(copies).unionByName(unnamed)
+    taken = []
+
+    def counted(idf, clusters, made=langid._cluster):
+        def run(f):
+            out = made(idf, clusters)(f)
+            out["lang"] = f"{f['lang'].iloc[0]}:{len(f)}"
+            return out
+
+        return run
+
+    original, langid._cluster = langid._cluster, counted
+    try:
+        taken = langid.fit(docs, per_lang=10).langs
+    finally:
+        langid._cluster = original
+    assert set(taken) == {"a:10", "b:10"}
+    got = langid.predict(rows, langid.fit(docs, per_lang=10)).collect()
+    assert all(r.lang_pred == ("a" if r.doc_id < 100 else "b") for r in got)
