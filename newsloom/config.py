@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import dataclass, field, fields, replace
 
 
 @dataclass(frozen=True)
@@ -78,14 +79,35 @@ class TwoTower:
     seed: int = 2020
 
 
+@dataclass(frozen=True)
+class Item2Vec:
+    dim: int = 256
+    window: int = 3
+    negatives: int = 5
+    pool: int = 4096  # noise drawn for a shard in an epoch
+    epochs: int = 1
+    batch: int = 256
+    rate: float = 0.025
+    least: float = 1e-4
+    shard_rows: int = 50_000  # bound of the samples that meet in one task
+    seed: int = 2020
+
+
 @dataclass(frozen=True)
 class LambdaRank:
     folds: int = 5
-    trees: int = 10
-    depth: int = 5
-    rate: float = 0.3
-    patience: int = 3
-    min_rows: int = 5
+    trees: int = 500
+    leaves: int = 64
+    depth: int = 10
+    rate: float = 0.05
+    patience: int = 30  # rounds without a better NDCG of the held-out fold
+    bins: int = 63
+    rows: float = 0.8  # share of the users that a tree learns from
+    columns: float = 0.8
+    l1: float = 0.5
+    l2: float = 0.5
+    min_rows: int = 20
+    min_curve: float = 1e-3
     seed: int = 2020
 
 
@@ -95,3 +117,33 @@ VECTOR_K = 50
 VECTOR_FETCH = 100
 OVERFETCH = 50
 EPS = 1e-3
+
+
+@dataclass(frozen=True)
+class Settings:
+    """All parameters of a run."""
+
+    itemcf: ItemCf = field(default_factory=ItemCf)
+    swing: Swing = field(default_factory=Swing)
+    cold: ColdStart = field(default_factory=ColdStart)
+    fusion: Fusion = field(default_factory=Fusion)
+    item2vec: Item2Vec = field(default_factory=Item2Vec)
+    two_tower: TwoTower = field(default_factory=TwoTower)
+    lambda_rank: LambdaRank = field(default_factory=LambdaRank)
+
+    def set(self, *given: str) -> Settings:
+        """With ``section.name=value`` put in; a value is read as the type that it replaces. Names that are not there raise ValueError."""
+        out = self
+        for one in given:
+            name, _, value = one.partition("=")
+            section, _, key = name.strip().partition(".")
+            part = getattr(out, section, None)
+            if not key or part is None or key not in {f.name for f in fields(part)}:
+                raise ValueError(f"no parameter {name}")
+            old = getattr(part, key)
+            try:
+                new = json.loads(value) if isinstance(old, dict) else type(old)(value)
+            except ValueError as e:
+                raise ValueError(f"{name}: {value} is not of type {type(old).__name__}") from e
+            out = replace(out, **{section: replace(part, **{key: new})})
+        return out

@@ -36,7 +36,9 @@ def split(clicks: DataFrame, online: bool = False) -> tuple[DataFrame, DataFrame
 
 
 def sequence(click: DataFrame) -> DataFrame:
-    """pos (from 0, oldest first), loc (from 0, newest first) and n_clicks (repeats count) of every click."""
+    """pos (from 0, oldest first), loc (from 0, newest first) and n_clicks (repeats count) of every click; clicks that have them stay as they are."""
+    if "loc" in click.columns:
+        return click
     n = F.count("*").over(Window.partitionBy("user_id"))
     d = click.withColumn("pos", (F.row_number().over(_by_user(False)) - 1).cast("bigint")).withColumn("n_clicks", n)
     return d.withColumn("loc", F.col("n_clicks") - 1 - F.col("pos"))
@@ -44,6 +46,8 @@ def sequence(click: DataFrame) -> DataFrame:
 
 def recent(click: DataFrame, n: int) -> DataFrame:
     """user_id, loc, item: the last n clicks, newest at loc 0."""
+    if "loc" in click.columns:
+        return click.where(F.col("loc") < n).select("user_id", "loc", F.col("click_article_id").alias("item"))
     # numbered from the newest, so that the limit works in each task before the exchange
     d = click.withColumn("turn", F.row_number().over(_by_user(True))).where(F.col("turn") <= n)
     return d.select("user_id", (F.col("turn") - 1).cast("bigint").alias("loc"), F.col("click_article_id").alias("item"))

@@ -2,76 +2,174 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import config, sources
-from ..operators import features as ft, lambdarank as lr, negatives, ranking, recall as rc, similarity as sm, split as sp, twotower as tt
-from ..storage import held as _held, scratch
+from ..operators import features as ft, ids, item2vec as i2v, lambdarank as lr, negatives, ranking, recall as rc, similarity as sm, split as sp, twotower as tt
+from ..operators.folds import group_kfold
+from ..stages import Input, Stage, Stages
 from .sql import oracle
 
+class Tables:
+    """Inputs and stored stages of one data directory. ``graphs``: paths of stored similarity tables (itemcf, swing, knn) to read in place of building them."""
 
-COLD = config.ColdStart()
+    def __init__(self, spark: SparkSession, sf_dir: str, p: config.Settings = config.Settings(), online: bool = False, graphs: dict[str, str] | None = None):
+        self.spark, self.dir, self.p, self.online, self.graphs = spark, sf_dir.rstrip("/"), p, online, graphs or {}
+        self.run = Stages(spark)
+
+    def _given(self, name: str) -> Input:
+        path = f"{self.dir}/{name}.parquet"
+        return self.run.given(path, lambda: self.spark.read.parquet(path))
+
+    @cached_property
+    def all_clicks(self) -> DataFrame:
+        return sources.clicks(self.spark, self.dir)
+
+    @cached_property
+    def given_articles(self) -> DataFrame:
+        return sources.articles(self.spark, self.dir)
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        return sources.vectors(self.spark, self.dir)
+
+    # stages
+
+    def _users(self, name: str, make, *inputs, params=(), required: bool = False) -> Stage:
+        """A stage of rows of users."""
+        return self.run.table(name, make, *inputs, params=params, bucket="user_id", required=required)
+
+    @cached_property
+    def click_s(self) -> Stage:
+        made = lambda: sp.sequence(sp.split(self.all_clicks, self.online)[0])
+        return self.run.table("click", made, self._given("events"), params=(self.online,), bucket="user_id", sort=("pos",), required=True)
 
+    @cached_property
+    def query_s(self) -> Stage:
+        return self._users("query", lambda: sp.split(self.all_clicks, self.online)[1], self._given("events"), params=(self.online,), required=True)
 
-def _seeded(edges: DataFrame, t: Tables, p: config.ItemCf | config.Swing) -> DataFrame:
-    return rc.seeded_recall(edges, t.click, t.query, p.seeds, p.top_m, p.seed_decay, p.k)
+    @cached_property
+    def articles_s(self) -> Stage:
+        return self.run.table("articles", lambda: self.given_articles, *map(self._given, ("embeddings", "documents", "orders")), required=True)
 
+    def _graph(self, name: str, make, *inputs, params=()) -> Stage:
+        if name in self.graphs:
+            path = self.graphs[name]
+            given = self.run.given(path, lambda: sources.read_edges(self.spark, path))
+            make, inputs, params = lambda: given.df, (given,), ()
+        return self.run.table(f"{name}_edges", make, *inputs, params=params, bucket="item_i", sort=("item_j",))
 
-class Tables:
-    """Lazy inputs and derived tables of one data directory."""
+    @cached_property
+    def cf_s(self) -> Stage:
+        return self._graph("itemcf", lambda: sm.itemcf_edges(self.click, self.p.itemcf), self.click_s, params=self.p.itemcf)
+
+    @cached_property
+    def swing_s(self) -> Stage:
+        return self._graph("swing", lambda: sm.swing_edges(self.click, self.p.swing), self.click_s, params=self.p.swing)
+
+    @cached_property
+    def knn_s(self) -> Stage:
+        return self._graph("knn", lambda: sm.knn_edges(self.vectors, config.EMB_TOP), self._given("embeddings"), params=config.EMB_TOP)
+
+    def _seeded(self, edges: Stage, p: config.ItemCf | config.Swing) -> DataFrame:
+        return rc.seeded_recall(edges.df, self.click, self.query, p.seeds, p.top_m, p.seed_decay, p.k)
+
+    @cached_property
+    def itemcf_s(self) -> Stage:
+        return self._users("itemcf", lambda: self._seeded(self.cf_s, self.p.itemcf), self.cf_s, self.click_s, self.query_s, params=self.p.itemcf)
+
+    @cached_property
+    def swing_c_s(self) -> Stage:
+        return self._users("swing", lambda: self._seeded(self.swing_s, self.p.swing), self.swing_s, self.click_s, self.query_s, params=self.p.swing)
+
+    @cached_property
+    def w2v_s(self) -> Stage:
+        return self._users("w2v", lambda: rc.vector_recall_last(self.vectors, self.click, self.query), self._given("embeddings"), self.click_s, self.query_s)
+
+    @cached_property
+    def cold_s(self) -> Stage:
+        made = lambda: rc.cold_recall(self.knn, self.click, self.query, self.articles, self.p.cold)
+        return self._users("cold_start", made, self.knn_s, self.click_s, self.query_s, self.articles_s, params=self.p.cold)
+
+    @cached_property
+    def unseen_s(self) -> Stage:
+        return self._users("unseen", lambda: rc.vector_recall_unseen(self.vectors, self.click, self.query), self._given("embeddings"), self.click_s, self.query_s)
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.all_clicks, self.articles, self.vectors = sources.clicks(spark, sf_dir), sources.articles(spark, sf_dir), sources.vectors(spark, sf_dir)
-        self.click, self.query = sp.split(self.all_clicks)
-        self.spark, self.dir = spark, sf_dir
+    @cached_property
+    def item2vec_s(self) -> Stage:
+        return self.run.table("item2vec", lambda: i2v.train(self.click, self.p.item2vec), self.click_s, params=self.p.item2vec)
 
-    @property
-    def cf(self):
-        return sm.itemcf_edges(self.click)
+    @cached_property
+    def als_s(self) -> Stage:
+        return self._users("als", lambda: ranking.als_recall(self.click, self.query), self.click_s, self.query_s)
 
-    @property
-    def swing(self):
-        return sm.swing_edges(self.click)
+    @cached_property
+    def two_tower_s(self) -> Stage:
+        """The trained state, by the clicks and parameters that it came from."""
+        return self.run.table("two_tower", lambda: tt.train(self.click, self.p.two_tower), self.click_s, params=self.p.two_tower)
 
-    @property
-    def knn(self):
-        return sm.knn_edges(self.vectors, config.EMB_TOP)
+    @cached_property
+    def two_tower_c_s(self) -> Stage:
+        made = lambda: tt.recall_from(self.two_tower_s.df, self.click, self.query, self.p.two_tower)
+        return self._users("youtubednn", made, self.two_tower_s, self.click_s, self.query_s, params=self.p.two_tower)
+
+    def fused_of(self, fifth: Stage) -> Stage:
+        """All five channels with ``fifth`` as the last one."""
+        parts = {"itemcf": self.itemcf_s, "w2v": self.w2v_s, "swing": self.swing_c_s, "cold_start": self.cold_s, "youtubednn": fifth}
+        return self._users("fused", lambda: rc.fuse({k: s.df for k, s in parts.items()}, self.p.fusion), *parts.values(), params=self.p.fusion)
+
+    def features_of(self, cand: Stage, kept: bool = False) -> Stage:
+        """The feature table of fused candidates; ``kept``: only of users that the ranker can use."""
+        made = lambda: ft.feature_v3(rc.keep_users(cand.df) if kept else cand.df, self.click, self.articles, self.cf, self.swing, self.knn, self.vectors)
+        return self._users("features", made, cand, self.click_s, self.articles_s, self.cf_s, self.swing_s, self.knn_s, self._given("embeddings"), params=kept)
+
+    def ranker_of(self, fifth: Stage) -> tuple[lr.LambdaRanker, DataFrame, DataFrame]:
+        """(trained ranker, out-of-fold predictions, open rows); trained once for the same rows and parameters."""
+        rows = self.features_of(self.fused_of(fifth), kept=True)
+
+        def write(path: str) -> None:
+            ranker = lr.LambdaRanker(learned_from(rows.df), self.p.lambda_rank)
+            ranker.fit_oof(rows.df.where("label is not null")).write.parquet(f"{path}/oof")
+            ranker.save(self.spark, path)
+
+        path, _ = self.run.folder("lambda_ranker", write, rows, params=self.p.lambda_rank)
+        return lr.LambdaRanker.load(self.spark, path, self.p.lambda_rank), self.spark.read.parquet(f"{path}/oof"), rows.df.where("label is null")
+
+    # their tables
+
+    click, query, articles = (cached_property(lambda self, s=s: getattr(self, s).df) for s in ("click_s", "query_s", "articles_s"))
+    cf, swing, knn = (cached_property(lambda self, s=s: getattr(self, s).df) for s in ("cf_s", "swing_s", "knn_s"))
 
     def itemcf_c(self):
-        return _seeded(self.cf, self, config.ItemCf())
+        return self.itemcf_s.df
 
     def swing_c(self):
-        return _seeded(self.swing, self, config.Swing())
+        return self.swing_c_s.df
 
     def coarse(self):
-        return rc.seeded_recall(self.knn, self.click, self.query, COLD.seeds, COLD.top_m, COLD.seed_decay, COLD.raw_k, "none")
+        p = self.p.cold
+        return rc.seeded_recall(self.knn, self.click, self.query, p.seeds, p.top_m, p.seed_decay, p.raw_k, "none")
 
     def w2v_c(self):
-        return rc.vector_recall_last(self.vectors, self.click, self.query)
+        return self.w2v_s.df
 
     def cold_c(self):
-        return rc.cold_recall(self.knn, self.click, self.query, self.articles)
+        return self.cold_s.df
 
     def unseen_c(self):
-        return rc.vector_recall_unseen(self.vectors, self.click, self.query)
+        return self.unseen_s.df
 
     def channels(self):
-        return {"itemcf": self.itemcf_c(), "w2v": self.w2v_c(), "swing": self.swing_c(), "cold_start": self.cold_c()}
+        return {"itemcf": self.itemcf_c(), "w2v": self.w2v_c(), "swing": self.swing_c(), "cold_start": self.cold_c(), "youtubednn": self.unseen_c()}
 
     def fused(self):
         """All five channels; the user vectors of the fifth are means of given vectors, which SQL can follow."""
-        return rc.fuse(self.channels() | {"youtubednn": self.unseen_c()})
-
-    def fused_all(self):
-        """All five channels; the user vectors of the fifth are learned."""
-        return rc.fuse(self.channels() | {"youtubednn": ranking.als_recall(self.click, self.query)})
+        return self.fused_of(self.unseen_s).df
 
     def two_tower_c(self):
-        return tt.two_tower_recall(self.click, self.query)
-
-    def fused_two_tower(self):
-        """All five channels, the fifth from the two-tower model."""
-        return rc.fuse(self.channels() | {"youtubednn": self.two_tower_c()})
+        return self.two_tower_c_s.df
 
     def texts(self):
         return self.spark.read.parquet(f"{self.dir}/documents.parquet")
@@ -120,34 +218,22 @@ SIM_SQL = "round(coalesce(e1.sim, 0e0), 5) as user_last_click_article_itemcf_sim
 DIFF_SQL = "created // 1000 - lcr as user_last_click_created_at_ts_diff, created // 1000 - lsec as user_last_click_timestamp_diff, words - lw as user_last_click_words_count_diff, coalesce(cast(cat = lcat as integer), 0) as same_as_last_category"
 
 
-def _ranker_rows(t: Tables, fused: DataFrame | None = None) -> tuple[list[str], DataFrame]:
-    """The feature table of the candidates, and its columns to learn from in sorted order."""
-    cand = rc.keep_users(_held(t.fused_all() if fused is None else fused))
-    rows = ft.feature_v3(cand, t.click, t.articles, t.cf, t.swing, t.knn, t.vectors).drop("created_at_datetime")
-    return sorted(c for c in rows.columns if c != "label"), rows
+def learned_from(rows: DataFrame) -> list[str]:
+    """The columns of a feature table that a ranker learns from, sorted."""
+    return sorted(c for c in rows.columns if c not in ("label", "created_at_datetime"))
 
 
 def _gbt(t: Tables) -> tuple[ranking.Ranker, DataFrame, DataFrame]:
-    cols, rows = _ranker_rows(t)
-    rows = _held(rows.select("label", *cols))
-    ranker = ranking.Ranker(cols)
-    return ranker, ranker.fit_oof(rows.where("label is not null")), rows.where("label is null")
-
-
-def _lambda(t: Tables) -> tuple[lr.LambdaRanker, DataFrame, DataFrame]:
-    cols, rows = _ranker_rows(t, t.fused_two_tower())
-    rows = _held(rows.select("label", *cols))
-    ranker = lr.LambdaRanker(cols)
+    rows = t.features_of(t.fused_of(t.als_s), kept=True).df
+    cols = learned_from(rows)
+    ranker, rows = ranking.Ranker(cols), rows.select("label", *cols)
     return ranker, ranker.fit_oof(rows.where("label is not null")), rows.where("label is null")
 
 
 def _lambda_online(t: Tables) -> DataFrame:
-    """Open rows scored by models that were stored and loaded again."""
-    ranker, _, rows = _lambda(t)
-    scratch(t.spark)
-    path = f"{t.spark.sparkContext.getCheckpointDir()}/lambda-models"
-    ranker.save(t.spark, path)
-    return lr.LambdaRanker.load(t.spark, path).predict(rows)
+    """Open rows scored by the stored models of all folds."""
+    ranker, _, rows = t.ranker_of(t.two_tower_c_s)
+    return ranker.predict(rows)
 
 
 def _negatives(t: Tables) -> DataFrame:
@@ -172,9 +258,9 @@ DIFFS = ["user_last_click_created_at_ts_diff", "user_last_click_timestamp_diff",
 
 REGISTRY: dict[str, tuple] = {
     "clicks_view": (lambda t: t.all_clicks, oracle("select user_id, item as click_article_id, t as click_timestamp, event_id from clicks")),
-    "articles_view": (lambda t: t.articles, oracle("select item as article_id, cat as category_id, created as created_at_ts, words as words_count from arts")),
-    "split_train": (lambda t: t.click, oracle("select user_id, item as click_article_id, t as click_timestamp, event_id from click")),
-    "split_query": (lambda t: t.query, oracle("select user_id, target as click_article_id from query")),
+    "articles_view": (lambda t: t.given_articles, oracle("select item as article_id, cat as category_id, created as created_at_ts, words as words_count from arts")),
+    "split_train": (lambda t: sp.split(t.all_clicks)[0], oracle("select user_id, item as click_article_id, t as click_timestamp, event_id from click")),
+    "split_query": (lambda t: sp.split(t.all_clicks)[1], oracle("select user_id, target as click_article_id from query")),
     "query_sentinel": (lambda t: sp.split(t.all_clicks, online=True)[1], oracle("select distinct user_id, cast(-1 as bigint) as click_article_id from clicks where user_id % 5 = 0")),
     "user_sample": (lambda t: sp.sample_users(t.all_clicks, 10), oracle("select user_id from (select distinct user_id from clicks) order by md5(concat_ws('-', user_id, 2020)) limit 10")),
     "user_sequence": (lambda t: sp.sequence(t.click).select("user_id", "click_article_id", "pos", "loc", "n_clicks"), oracle("select user_id, item as click_article_id, pos, loc, n as n_clicks from seq")),
@@ -214,7 +300,7 @@ REGISTRY: dict[str, tuple] = {
     "recall_count_percentiles": (lambda t: t.fused().groupBy("user_id").agg(F.count("*").alias("n")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"), F.median("n").alias("median"), *[F.expr(f"percentile(n, {p / 100})").alias(f"p{p}") for p in PERCENTILES]), oracle("select cast(min(n) as bigint) as least, cast(max(n) as bigint) as most, round(avg(n), 6) as mean, median(n) as median, " + ", ".join(f"quantile_cont(n, {p / 100}e0) as p{p}" for p in PERCENTILES) + " from (select user_id, cast(count(*) as double) as n from fused group by 1)")),
     "label_distribution": (lambda t: t.fused().where("label is not null").groupBy("label").count().withColumnRenamed("count", "n"), oracle("select label, count(*) as n from fused where label is not null group by label")),
     "group_sizes": (lambda t: t.fused().groupBy("user_id").agg(F.count("*").alias("n")), oracle("select user_id, count(*) as n from fused group by 1")),
-    "cold_user_fallback": (lambda t: rc.cold_fallback(t.click, t.query, 50).withColumn("sim_score", F.round("sim_score", 6)), oracle("select user_id, article_id, round(1e0 - rn * 0.01e0, 6) as sim_score from (select distinct user_id from query where user_id not in (select user_id from click)) cross join (select item as article_id, row_number() over (order by count(*) desc, item) - 1 as rn from click group by item order by count(*) desc, item limit 50)")),
+    "cold_user_fallback": (lambda t: rc.cold_fallback(t.click, sources.customers(t.spark, t.dir), 50).withColumn("sim_score", F.round("sim_score", 6)), oracle("select user_id, article_id, round(1e0 - rn * 0.01e0, 6) as sim_score from (select distinct c_custkey as user_id from customer where c_custkey not in (select user_id from click)) cross join (select item as article_id, row_number() over (order by count(*) desc, item) - 1 as rn from click group by item order by count(*) desc, item limit 50)")),
     "feat_article_meta": (lambda t: t.articles.select("article_id", "category_id", "words_count", F.floor(F.col("created_at_ts") / 1000).alias("created_at_ts"), F.timestamp_seconds(F.floor(F.col("created_at_ts") / 1000)).cast("timestamp_ntz").alias("created_at_datetime")), oracle("select item as article_id, cat as category_id, words as words_count, created // 1000 as created_at_ts, make_timestamp(created // 1000 * 1000000) as created_at_datetime from arts")),
     "feat_user_stats_v3": (lambda t: _rounded(ft.user_stats(t.click, t.articles).drop("last_category")), oracle(f"select user_id, {STAT_SQL} from us")),
     "feat_user_stats_baseline": (lambda t: _rounded(ft.user_stats_baseline(t.click, t.articles)), oracle(f"select user_id, {BASE_SQL} from usb")),
@@ -225,7 +311,7 @@ REGISTRY: dict[str, tuple] = {
     "feat_last_sims": (_last_sims, oracle(f"select user_id, article_id, {SIM_SQL} from cc {LAST_JOIN}")),
     "feat_w2v_sims": (lambda t: _rounded(ft.vector_sims(t.fused().select("user_id", "article_id"), t.click, t.vectors)), oracle("select user_id, article_id, round(coalesce(l, 0e0), 5) as user_last_click_article_w2v_sim, round(coalesce(s, 0e0), 5) as user_click_article_w2w_sim_sum_2 from fused left join w2s using (user_id, article_id)")),
     "feature_v3": (
-        lambda t: _rounded(ft.feature_v3(t.fused(), t.click, t.articles, t.cf, t.swing, t.knn, t.vectors)).drop("created_at_datetime"),
+        lambda t: _rounded(t.features_of(t.fused_of(t.unseen_s)).df).drop("created_at_datetime"),
         oracle(f"select user_id, article_id, round(sim_score, 5) as sim_score, label, cat as category_id, words as words_count, created // 1000 as created_at_ts, {COUNT_SQL}, {STAT_SQL}, {DIFF_SQL}, round(coalesce(cfsum.s, 0e0), 5) as user_clicked_article_itemcf_sim_sum, {SIM_SQL}, round(coalesce(w2s.l, 0e0), 5) as user_last_click_article_w2v_sim, round(coalesce(w2s.s, 0e0), 5) as user_click_article_w2w_sim_sum_2 from cc left join us using (user_id) left join cfsum using (user_id, article_id) left join w2s using (user_id, article_id) {LAST_JOIN}")),
     "feature_baseline": (
         lambda t: _rounded(ft.feature_baseline(t.fused(), t.click, t.articles, t.cf)),
@@ -233,7 +319,13 @@ REGISTRY: dict[str, tuple] = {
     "memory_profile": (
         lambda t: ft.column_profile(t.articles, ["article_id", "category_id", "words_count", "created_at_ts"]),
         oracle("select c as \"column\", lo, hi, case when lo > -128 and hi < 127 then 'int8' when lo > -32768 and hi < 32767 then 'int16' when lo > -2147483648 and hi < 2147483647 then 'int32' else 'int64' end as type from (" + " union all ".join(f"select '{c}' as c, min({k}) as lo, max({k}) as hi from arts" for c, k in (("article_id", "item"), ("category_id", "cat"), ("words_count", "words"), ("created_at_ts", "created"))) + ")")),
-    "group_kfold": (lambda t: ranking.group_kfold(t.fused()).select("user_id", "article_id", "fold"), oracle("select user_id, article_id, cast(user_id % 5 as integer) as fold from fused")),
+    "group_kfold": (
+        lambda t: group_kfold(t.fused().where("label is not null")).select("user_id", "article_id", "fold"),
+        oracle("""select user_id, article_id, fold from fused join (
+          with recursive g as (select user_id, n, row_number() over (order by n desc, md5(cast(user_id as varchar)), user_id) as r from (select user_id, count(*) as n from fused where label is not null group by 1)),
+            d as (select cast(0 as bigint) as r, cast([0, 0, 0, 0, 0] as bigint[]) as loads, cast(null as bigint) as user_id, cast(null as integer) as fold
+              union all select g.r, list_transform(range(1, 6), lambda k: d.loads[k] + case when k = list_position(d.loads, list_min(d.loads)) then g.n else 0 end), g.user_id, cast(list_position(d.loads, list_min(d.loads)) - 1 as integer) from d join g on g.r = d.r + 1)
+          select user_id, fold from d where r > 0) using (user_id) where label is not null""")),
     "oof_mean": (lambda t: ranking.fold_mean([t.pred().withColumn("pred", F.col("pred") * k) for k in range(1, 6)]).withColumn("pred", F.round("pred", 6)), oracle("select user_id, article_id, round(3e0 * sim_score, 6) as pred from fused")),
     "submission_top5": (
         lambda t: ranking.submission(t.pred(), t.query.where("click_article_id = -1"), t.click),
@@ -255,15 +347,16 @@ REGISTRY: dict[str, tuple] = {
         lambda t: sp.category_codes(t.texts().select("doc_id", "lang", "source"), ["lang", "source"]),
         "select doc_id, cast(case when lang is null then -1 else (select count(distinct lang) from documents b where b.lang < d.lang) end as integer) as lang, cast(case when source is null then -1 else (select count(distinct source) from documents b where b.source < d.source) end as integer) as source from documents d"),
     "channel_overlap": (
-        lambda t: rc.overlaps(t.channels() | {"youtubednn": t.unseen_c()}).withColumn("overlap", F.round("overlap", 6)),
+        lambda t: rc.overlaps(t.channels()).withColumn("overlap", F.round("overlap", 6)),
         oracle("select x.a, y.a as b, round((select count(*) from ov o join ov o2 using (user_id, article_id) where o.a = x.a and o2.a = y.a) / x.n, 6) as overlap from (select a, count(*) as n from ov group by a) x, (select distinct a from ov) y where x.a <> y.a")),
-    "two_tower_vectors": (lambda t: tt.train(t.click).select("kind", "id", "vec"), None),
+    "two_tower_vectors": (lambda t: t.two_tower_s.df.select("kind", "id", "vec"), None),
     "two_tower_recall": (lambda t: t.two_tower_c(), None),
-    "lambda_rank": (lambda t: _lambda(t)[1], None),
+    "lambda_rank": (lambda t: t.ranker_of(t.two_tower_c_s)[1], None),
     "lambda_online": (_lambda_online, None),
-    "lambda_importance": (lambda t: _lambda(t)[0].importance(t.spark), None),
-    "item2vec_train": (lambda t: ranking.item2vec(t.click), None),
-    "als_recall": (lambda t: ranking.als_recall(t.click, t.query), None),
+    "lambda_importance": (lambda t: t.ranker_of(t.two_tower_c_s)[0].importance(t.spark), None),
+    "item2vec_train": (lambda t: t.item2vec_s.df, None),
+    "item2vec_recall": (lambda t: rc.vector_recall_last(t.item2vec_s.df, t.click, t.query), None),
+    "als_recall": (lambda t: t.als_s.df, None),
     "gbt_rank": (lambda t: _gbt(t)[1], None),
     "gbt_online": (lambda t: (lambda g: g[0].predict(g[2]))(_gbt(t)), None),
     "feature_importance": (lambda t: _gbt(t)[0].importance(t.spark), None),

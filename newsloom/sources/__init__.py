@@ -29,6 +29,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("article_id"), F.col("embedding").cast("array<double>").alias("vec"))
 
 
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id, click_article_id (-1, nothing known): every customer as a user to recommend to."""
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("user_id"), F.lit(-1).cast("bigint").alias("click_article_id"))
+
+
 def read_clicks_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CLICK_SCHEMA).csv(path, header=True)
 

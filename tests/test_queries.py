@@ -7,7 +7,7 @@ import pytest
 from newsloom.plans import queries
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["events", "embeddings", "documents", "orders"]
+TABLES = ["events", "embeddings", "documents", "orders", "customer"]
 CHECKED = sorted(queries.oracle_sql())
 
 
