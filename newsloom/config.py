@@ -15,7 +15,7 @@ class ItemCf:
     top_m: int = 200
     seed_decay: float = 0.7
     k: int = 100
-    block: int = 1000  # positions of a user that share a join key
+    block: int = 20_000  # positions of a long history that a task takes at a time
 
 
 @dataclass(frozen=True)

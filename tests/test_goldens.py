@@ -104,7 +104,7 @@ def test_zero_norm_is_no_neighbour(spark):
 def test_nearest_cuts_ties_by_id(spark):
     vectors = spark.createDataFrame([(k, [1.0, float(k % 3)]) for k in range(12)], "article_id bigint, vec array<double>")
     asked = spark.createDataFrame([(7, [2.0, 0.0])], "user_id bigint, vec array<double>")
-    got = [(r.item_j, round(r.sim, 6)) for r in similarity.nearest(asked, vectors, 6, block=5).orderBy(F.desc("sim"), "item_j").collect()]
+    got = [(r.item_j, round(r.sim, 6)) for r in similarity.nearest(asked, vectors, 6, group=2).orderBy(F.desc("sim"), "item_j").collect()]
     assert got == [(k, 1.0) for k in (0, 3, 6, 9)] + [(k, round(1 / math.sqrt(2), 6)) for k in (1, 4)]
     assert recall.knn_users(asked, vectors, 3).count() == 3
 
