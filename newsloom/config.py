@@ -100,7 +100,7 @@ class LambdaRank:
     leaves: int = 64
     depth: int = 10
     rate: float = 0.05
-    patience: int = 30  # rounds without a better NDCG of the held-out fold
+    patience: int = 20  # rounds without a better NDCG of the held-out fold
     bins: int = 63
     rows: float = 0.8  # share of the users that a tree learns from
     columns: float = 0.8
@@ -108,6 +108,7 @@ class LambdaRank:
     l2: float = 0.5
     min_rows: int = 20
     min_curve: float = 1e-3
+    few: int = 16  # partitions whose histograms the driver adds up itself
     seed: int = 2020
 
 

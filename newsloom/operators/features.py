@@ -75,18 +75,31 @@ def last_sim(cand: DataFrame, click: DataFrame, edges: DataFrame | None, name: s
     return cand.join(got, ["user_id", "article_id"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
 
 
+def unit(vec):
+    """The vector at length 1; null where its length is 0."""
+    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(norm > 0, F.transform(vec, lambda x: x / norm))
+
+
+def dot(a, b):
+    """Cosine of vectors of length 1, -1 where one has none (null)."""
+    return F.coalesce(F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), F.lit(-1.0))
+
+
 def cosine(a, b):
     """Cosine, -1 where a norm is zero."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when((norm(a) == 0) | (norm(b) == 0), F.lit(-1.0)).otherwise(dot / (norm(a) * norm(b)))
+    return dot(unit(a), unit(b))
 
 
 def vector_sims(cand: DataFrame, click: DataFrame, vectors: DataFrame) -> DataFrame:
     """Cosine of the candidate with the last click (0 without vectors) and summed over the last two (cosines above -1)."""
-    v = vectors.select("article_id", "vec")
-    h = recent(click, 2).join(v.toDF("item", "hv"), "item").select("user_id", "loc", "hv")
-    d = cand.select("user_id", "article_id").distinct().join(h, "user_id").join(v, "article_id").withColumn("c", cosine(F.col("hv"), F.col("vec")))
+    # lengths are divided out once an article, not once a pair
+    v = vectors.select("article_id", unit(F.col("vec")).alias("vec"))
+    h = recent(click, 2)
+    # a cosine is computed once a pair of articles
+    pairs = cand.select("user_id", "article_id").distinct().join(h, "user_id")
+    c = pairs.select("item", "article_id").distinct().join(v.toDF("item", "hv"), "item").join(v, "article_id").select("item", "article_id", dot(F.col("hv"), F.col("vec")).alias("c"))
+    d = pairs.join(c, ["item", "article_id"])
     s = d.groupBy("user_id", "article_id").agg(F.max(F.when(F.col("loc") == 0, F.col("c"))).alias("w2v_last"), F.sum(F.when(F.col("c") > -1, F.col("c"))).alias("w2v_sum"))
     out = cand.join(s, ["user_id", "article_id"], "left")
     return out.select("*", F.coalesce("w2v_last", F.lit(0.0)).alias("user_last_click_article_w2v_sim"), F.coalesce("w2v_sum", F.lit(0.0)).alias("user_click_article_w2w_sim_sum_2")).drop("w2v_last", "w2v_sum")
