@@ -241,6 +241,13 @@ def _negatives(t: Tables) -> DataFrame:
     return negatives.draw(s, t.click, 10).withColumn("slot", F.col("slot").cast("bigint"))
 
 
+def _two_runs_of_ids(t: Tables) -> DataFrame:
+    """Codes of the users of the training clicks, then of all clicks: the first ones keep theirs."""
+    train = t.all_clicks.where("user_id % 5 <> 0")
+    known = ids.fresh_codes(None, train, "user_id")
+    return known.unionByName(ids.fresh_codes(known, t.all_clicks, "user_id"))
+
+
 def _last_sims(t: Tables) -> DataFrame:
     d = t.fused().select("user_id", "article_id")
     for name, e in (("itemcf", t.cf), ("swing", t.swing), ("emb_i2i", t.knn)):
@@ -274,6 +281,7 @@ REGISTRY: dict[str, tuple] = {
         oracle("select u.user_id, g.at, coalesce(seq.item + 1, 0) as item from (select distinct user_id from click) u cross join (select unnest(range(0, 30)) as at) g left join seq on seq.user_id = u.user_id and seq.loc = g.at")),
     "item_inverted_index": (lambda t: t.click.groupBy(F.col("click_article_id").alias("item")).agg(F.count_distinct("user_id").alias("users"), F.count("*").alias("clicks")), oracle("select item, count(distinct user_id) as users, count(*) as clicks from click group by item")),
     "ordinal_encode": (lambda t: sp.ordinal(t.click, "click_article_id"), oracle("select item as click_article_id, dense_rank() over (order by item) as code from (select distinct item from click)")),
+    "id_dictionary": (_two_runs_of_ids, oracle("select user_id as value, row_number() over (order by user_id % 5 = 0, user_id) as code from (select distinct user_id from clicks)")),
     "itemcf_sim": (lambda t: _edges(t.cf), oracle(E.format("cf"))),
     "itemcf_topn": (lambda t: sm.top_edges(t.cf, 20).select("item_i", "item_j", F.col("rank").cast("bigint").alias("rank")), oracle("select i as item_i, j as item_j, rank from (select i, j, row_number() over (partition by i order by round(sim, 9) desc, j) as rank from cf) where rank <= 20")),
     "itemcf_recall": (lambda t: _cand(t.itemcf_c()), oracle(C.format("itemcf_c"))),

@@ -106,3 +106,22 @@ def test_parameters_from_outside():
     for wrong in ("itemcf.no=1", "none.k=1", "itemcf", "itemcf.k=x"):
         with pytest.raises(ValueError):
             config.Settings().set(wrong)
+
+
+def test_the_second_run_starts_no_similarity_job(spark, tmp_path):
+    from newsloom.__main__ import main
+
+    spark.conf.set("spark.newsloom.store", str(tmp_path / "store"))
+    try:
+        small = ["--set", "two_tower.epochs=1", "--set", "two_tower.negatives=64", "--set", "lambda_rank.trees=3", "--set", "lambda_rank.folds=3"]
+        run = lambda out, *more: main(["--input", SF, "--output", str(tmp_path / out), *small, *more]).run.built
+        first = run("a")
+        assert {"itemcf_edges", "swing_edges", "knn_edges", "two_tower", "fused", "features", "lambda_ranker"} <= set(first) and len(first) == len(set(first))
+        assert run("b") == []
+        read = lambda out, name: sorted(map(tuple, spark.read.csv(str(tmp_path / out / name), header=True).collect()))
+        assert read("a", "submission") == read("b", "submission") and len(read("a", "submission")) > 0
+        assert [r[0] for r in sorted(read("a", "recall_metrics"), key=lambda r: int(r[0]))] == ["5", "10", "20", "40", "50"]
+        # another weight of the fusion makes anew what comes after recall, and nothing before
+        assert set(run("c", "--set", "fusion.k=20", "--until", "features")) == {"fused", "features"}
+    finally:
+        spark.conf.unset("spark.newsloom.store")
