@@ -68,11 +68,11 @@ class TwoTower:
     dim: int = 32
     hidden: int = 128
     length: int = 30
-    negatives: int = 1000
-    pool: int = 4096  # negatives drawn for a shard in an epoch
+    negatives: int = 1000  # of a step, shared by its samples
     epochs: int = 3
-    batch: int = 256
-    rate: float = 1e-3
+    steps: int = 8  # of an epoch
+    batch: int = 256  # samples that a shard takes at a time; their gradients are added up
+    rate: float = 5e-3
     clip: float = 1.0
     temperature: float = 1.0
     shard_rows: int = 20000  # bound of the samples that meet in one task
