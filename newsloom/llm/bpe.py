@@ -6,8 +6,9 @@ root is the leftmost minimum. A merge changes three leaves: the merged pair, its
 the left neighbour; each is a point update up the tree. Many short pieces are merged side by side, one row of
 a matrix per piece; a very long piece has a tree of its own. Decoding joins the byte strings of ids.
 
-Texts: null is the empty text; ids of a text are those of its pattern matches in order; empty tables
-give an empty result; extra columns are ignored.
+Texts: null is the empty text; ids of a text are those of its pattern matches in order; very long texts are taken whole; pairs
+of one rank merge from the left; repeated rows each get their row, and rows of one id with different texts their own ids; empty tables
+give an empty result; extra columns are ignored. The id column holds whole numbers, or texts of such; other ids are an error.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ Null, empty or wordless text has an empty set and links with nothing: its compon
 words than n has its whole sequence as its only n-gram. Very long texts are taken whole; a text's set is held in
 one task. Rows with one id and one text are one document; rows with one id and different texts are
 documents of their own that share the id, and each row gets the result of its text. A component's id is its smallest id; null
-ids count only where no other is there. Ties do not occur. An empty table gives an empty result. Extra columns,
+ids count only where no other is there. Ties do not occur. An empty table gives an empty result. The id column holds whole numbers, or texts of such;
+other ids are an error. Extra columns,
 whatever their names, are ignored.
 """
 

@@ -5,7 +5,8 @@ bits. Policies are versioned masks over those bits: ``apply_policy`` needs no te
 compares rules and policies by bitwise aggregation of the ledger.
 
 Null text has no words: all its counts are 0 and the base rules fail. Empty tables give empty results;
-repeated rows each get their row; columns of the input other than the id are ignored by ``ledger``.
+repeated rows each get their row, whatever their ids; very long texts are measured whole, as the arrays of one row; there are no
+ties; columns of the input other than the id are ignored by ``ledger``.
 Windows of three words are compared by 64-bit hashes within one document.
 """
 

@@ -17,7 +17,8 @@ gathered: the digests of their strings are grouped by Spark.
 Null is the empty text; texts under ``length`` bytes lose nothing; an empty table gives an empty result. Very long texts are
 taken whole, by one task each. Rows are told apart by id and text: repeated rows of one id and one text count as copies,
 rows of one id with different texts are documents of their own, and null ids are allowed. Ties do not matter, for every
-occurrence is removed. Extra columns, whatever their names, are ignored.
+occurrence is removed. The id column holds whole numbers, or texts of such;
+other ids are an error. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

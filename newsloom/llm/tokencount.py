@@ -5,7 +5,8 @@ every text (null counts as the empty text; the content is otherwise taken as it
 normalisation would change the library's counts), joins digests and tokenizer version to the stored
 counts, encodes each distinct miss once, appends it to the cache and joins the counts back. Two texts
 with one SHA-256 digest are one content. Empty tables give an empty result; repeated rows each get
-their row; extra columns of the input are ignored.
+their row, and rows of one id with different texts their own counts; very long texts are encoded whole, by one
+call each; there are no ties; ids may be of any type; extra columns of the input are ignored.
 """
 
 from __future__ import annotations

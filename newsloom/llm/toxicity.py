@@ -11,7 +11,8 @@ errors on label 1, the rarer one, count ``POSITIVE`` times.
 Null and empty texts have no terms and get the machine's bias. Very long texts are taken whole. Rows without a label do not
 teach; without any positive or negative row, as in an empty table, every score is 0. Repeated rows count as often as they occur, but stand in the
 sample once; rows of one id with different texts are rows of their own that share the id's label, and an id with
-both labels teaches both. Ties go to the smaller hash, then the smaller id. Columns named score or predicted are replaced, others pass.
+both labels teaches both. Ties go to the smaller hash, then the smaller id. The id column holds whole numbers, or texts of such;
+other ids are an error. Columns named score or predicted are replaced, others pass.
 """
 
 from __future__ import annotations

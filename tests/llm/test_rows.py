@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from newsloom.llm import jaccard, langid, linededup, maxscore, packing, quality, suffixdedup, toxicity
+from newsloom.llm import bpe, jaccard, langid, linededup, maxscore, packing, quality, suffixdedup, tokencount, toxicity
 
 
 def words(rng, n):
@@ -208,3 +208,42 @@ def test_language_sample_is_full_under_repeats_and_null_ids(spark):
     assert set(taken) == {"a:10", "b:10"}
     got = langid.predict(rows, langid.fit(docs, per_lang=10)).collect()
     assert all(r.lang_pred == ("a" if r.doc_id < 100 else "b") for r in got)
+
+
+def test_counts_and_ids_of_rows_that_share_an_id(spark, rows, tmp_path):
+    data, docs = rows
+    import public_tokenizers
+    import sentencepiece
+    import tiktoken
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(tokencount.MODEL))
+    got = [(r.doc_id, r.n_bytes, r.n_tokens) for r in tokencount.token_counts(docs, str(tmp_path / "cache")).collect()]
+    assert sorted(got, key=str) == sorted(((i, len((t or "").encode()), len(sp.encode(t or ""))) for i, t in data), key=str)
+    enc = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(), special_tokens={})
+    got = [(r.doc_id, r.ids) for r in bpe.bpe_encode(docs).collect()]
+    assert sorted(got, key=str) == sorted(((i, enc.encode_ordinary(t or "")) for i, t in data), key=str)
+
+
+def test_two_tokenizer_versions_share_a_cache(spark, rows, tmp_path, monkeypatch):
+    data, docs = rows
+    first = sorted(map(str, tokencount.token_counts(docs, str(tmp_path / "c")).collect()))
+    held = spark.read.schema(tokencount.CACHE_SCHEMA).parquet(str(tmp_path / "c"))
+    n = held.count()
+    monkeypatch.setattr(tokencount, "tokenizer_version", lambda model=None: "another:1")
+    again = sorted(map(str, tokencount.token_counts(docs, str(tmp_path / "c")).collect()))
+    held = spark.read.schema(tokencount.CACHE_SCHEMA).parquet(str(tmp_path / "c"))
+    assert first == again and {r["tokenizer"]: r["count"] for r in held.groupBy("tokenizer").count().collect()}["another:1"] == n and held.count() == 2 * n
+
+
+def test_an_id_with_both_labels_teaches_both(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(9)], "doc_id bigint, text string")
+    labels = [(i, int(i % 3 == 0)) for i in range(9)] + [(0, 0), (1, 1), (1, 1), (2, None), (4, 5), (77, 1)]
+
+    def told(value, share, rank, made=toxicity._train):
+        # the fit hands back its rows as the bits of the bias
+        return lambda rows: made(value, share, rank)(rows).assign(bias=float(sum(2 ** (2 * i + y) for i, y in zip(rows["doc_id"].tolist(), rows["toxic"].tolist(), strict=True))))
+
+    monkeypatch.setattr(toxicity, "_train", told)
+    bits = int(toxicity.fit(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int")).bias)
+    want = sorted([(i, int(i % 3 == 0)) for i in range(9)] + [(0, 0), (1, 1)])
+    assert [(i, y) for i in range(9) for y in (0, 1) if bits >> (2 * i + y) & 1] == want
