@@ -69,6 +69,15 @@ def test_bucketed_tables_join_without_an_exchange(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_empty_and_deleted_bucketed_tables(spark, tmp_path):
+    made = lambda n: Stages(spark, str(tmp_path)).table("e", lambda: spark.range(n).selectExpr("id as k", "id as user_id"), bucket="k")
+    first = made(0)
+    assert first.df.count() == 0 and first.df.columns == ["k", "user_id"] and made(5).df.count() == 0
+    Stages(spark, str(tmp_path)).files.delete(first.path)
+    again = made(3)
+    assert again.key == first.key and again.df.count() == 3
+
+
 def test_features_read_stored_graphs_and_build_none(spark, tmp_path):
     spark.conf.set("spark.newsloom.store", str(tmp_path))
     try:
