@@ -37,6 +37,7 @@ SEQ_LEN = 2048
 END_ID = 0
 # A round emits bins with at most this many free places; fuller bins cannot gain from the merge tree.
 SLACK = 16
+CACHED = 150_000  # pieces of a generation in a worker's cache
 FAN_IN = 8
 SUB_BITS = 8  # groups of one partition
 ID_BITS = 29  # bins of a group (24), then the round (5)
@@ -50,28 +51,32 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Ids(dict):
-    """Piece -> its ids as little-endian unsigned 32-bit bytes, of bounded size. Emptied when full: that never changes results."""
+    """Piece -> its ids as little-endian unsigned 32-bit bytes. Holds at most ``most`` pieces and as many of the generation before:
+    a full generation becomes the one before, and pieces that come up again move on. That never changes results."""
 
-    def __init__(self, lib, special: set[str], most: int = 300_000):
+    def __init__(self, lib, special: set[str], most: int):
         super().__init__()
         self.lib, self.model, self.special, self.most, self.letters = lib, lib.model, special, most, _byte_letters()
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.most:
+            self.before = dict(self)
             self.clear()
-        if piece in self.special:
-            ids = self.lib.encode(piece, add_special_tokens=False).ids
-        else:
-            # the library's merges alone: a piece needs no more splitting
-            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-        self[piece] = found = _little(ids)
+        self[piece] = found = self.before.pop(piece, None) or self._encode(piece)
         return found
 
+    def _encode(self, piece: str) -> bytes:
+        if piece in self.special:
+            return _little(self.lib.encode(piece, add_special_tokens=False).ids)
+        # the library's merges alone: a piece needs no more splitting
+        return _little([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
+
 
 class _Tokenizer:
     """Ids of whole texts by the tokenizers library, asked for each distinct piece between special strings."""
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, cached: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -79,7 +84,7 @@ class _Tokenizer:
         self.special = {t.content for t in lib.get_added_tokens_decoder().values()}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else lambda t: [t]
         self.split = splitter()
-        self.cache = _Ids(lib, self.special)
+        self.cache = _Ids(lib, self.special, cached)
 
     def _pieces(self, text: str) -> list[str]:
         # the library cuts special strings out of a text before all else
@@ -99,14 +104,14 @@ def _little(ids: list[int]) -> bytes:
 
 
 @lru_cache(maxsize=1)
-def _tokenizer(name: str) -> _Tokenizer:
+def _tokenizer(name: str, cached: int) -> _Tokenizer:
     """One for a Python worker: what a task has encoded, the worker's later tasks find in the bounded cache."""
-    return _Tokenizer(name)
+    return _Tokenizer(name, cached)
 
 
-def _tokenize(name: str, seq_len: int):
+def _tokenize(name: str, seq_len: int, cached: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(name)
+        tok = _tokenizer(name, cached)
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             for b, held in slices(batch, "text"):
@@ -217,11 +222,11 @@ def _compose(low: DataFrame, top: DataFrame) -> DataFrame:
     return low.join(up, "bin", "left").select("item", F.coalesce("up_bin", "bin").alias("bin"), (F.col("offset") + F.coalesce("up_offset", F.lit(0))).alias("offset"))
 
 
-def pack_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", tokenizer: str = TOKENIZER, seq_len: int = SEQ_LEN) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", tokenizer: str = TOKENIZER, seq_len: int = SEQ_LEN, cached: int = CACHED) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. ``cached`` trades a worker's memory for its time."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    pieces = rows.mapInArrow(_tokenize(tokenizer, seq_len), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    pieces = rows.mapInArrow(_tokenize(tokenizer, seq_len, cached), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
     pieces = materialize(pieces.withColumn("item", F.monotonically_increasing_id()), "pieces")
     full = F.col("length") == seq_len
     placed = pack(pieces.where(~full), seq_len)
