@@ -46,7 +46,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    # a worker has the memory of four stages behind it: a smaller cache than that of the operator alone
+    return packing.pack_documents(docs, cached=60_000)
 
 
 def _stage(name: str, function: Callable) -> tuple[str, Callable]:
