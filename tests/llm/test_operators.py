@@ -239,6 +239,31 @@ def test_line_dedup_keeps_a_passage_inside_a_line(spark):
     assert {r.doc_id: r.text for r in got.collect()} == {0: texts[0], 1: f"three {passage} four\n"}
 
 
+def test_passages_inside_lines_are_found_whatever_stands_around_them(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n))
+    passages, texts = [text(rng.randint(50, 90)) for _ in range(40)], []
+    for k, p in enumerate(passages):
+        texts += [f"{text(rng.randint(0, 40))} {p} {text(rng.randint(0, 40))}" for _ in range(2)]
+        texts.append(f"{text(5)}\n{text(7)} {p.upper() if k % 2 else p.replace(' ', chr(10), 3)}\t{text(9)}\n{text(3)}")
+    texts += [text(300) for _ in range(20)] + [text(5) + " " + " ".join(passages[0].split()[:30]), " ".join([text(1)] * 200), "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = linededup.line_dedup(docs, runs=True, min_words=linededup.PASSAGE_WORDS, passages=True).toPandas().set_index("doc_id")
+    for i, t in enumerate(texts):
+        spans, kept, at = got.loc[i, "removed"], "", 0
+        if i >= 120 or i % 3 == 0:  # alone, or the first of its passage, or too short a part of one
+            assert len(spans) == 0 and got.loc[i, "text"] == t
+            continue
+        assert len(spans)
+        for r in spans:
+            kept, at = kept + t[at : r["start"]], r["end"]
+            lost = " ".join(t[r["start"] : r["end"]].lower().split())
+            assert lost in passages[i // 3] and len(lost.split()) >= 1
+        assert got.loc[i, "text"] == kept + t[at:]
+        n = sum(len(t[r["start"] : r["end"]].split()) for r in spans)
+        assert n >= max(linededup.GRAM, len(passages[i // 3].split()) - 2 * (linededup.NEAR - 1))
+
+
 def test_line_runs_are_brute_force(docs):
     seen, got = set(), by_id(linededup.line_dedup(docs, runs=True, min_words=linededup.PASSAGE_WORDS))
     for i, t in enumerate(TEXTS):
