@@ -14,7 +14,8 @@ piece) allow the similarity are verified on the texts, first each document's clo
 in one component. Where that does not put a bucket into one component, its members' sketches are compared block by
 block inside tasks, the largest component against the rest and the rest among themselves. A block returns all pairs
 that its sketches allow where these are few, which settles it; else a forest of its components by each member's closest one, and
-the bucket comes up again with the components that result, in the third round with all pairs, in small frames. No link
+the bucket comes up again with the components that result, in the third round with all pairs, in small frames. Copies share many
+buckets: a pair is returned by the first one of a round that holds both, not by all of them. No link
 that joins components is lost, and no task holds all pairs of a bucket.
 
 Null, empty or wordless text has an empty set and links with nothing: its component is its own id. A text with fewer
@@ -48,6 +49,7 @@ SPREAD = 1.4  # pieces of a sketch for each emitted one
 BLOCK = 2000  # members of a bucket that one task compares
 BAND_STEPS = 3  # a size band spans this many factors of 1 / threshold
 BAND_BITS = 10  # of a key, for its band's number
+KNOWN = 64  # buckets of a member by which it is told whether an earlier one returns a pair; a pair that shares later ones alone is returned more than once
 MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -188,16 +190,16 @@ def _promising(percent: int):
     return run
 
 
-def bucket_pairs(comp: np.ndarray, size: np.ndarray, sketch: np.ndarray, side: np.ndarray, percent: int, most: int | None) -> tuple[bool, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+def bucket_pairs(comp: np.ndarray, size: np.ndarray, sketch: np.ndarray, side: np.ndarray, percent: int, most: int | None, earlier: list[frozenset] | None = None) -> tuple[bool, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """(whether these are all, (index, index, distance) arrays) of the pairs of a bucket's members in different components whose
     sizes and sketches allow the similarity. ``side``: 0 and 1 for the two blocks of a split bucket (only pairs across
-    count), else all 0. Where there are more than ``most``: of each member's nearest one after it those that make a forest of the components."""
+    count), else all 0. ``earlier``: each member's buckets before this one; pairs that share one are left to it. Where there are more than ``most``: of each member's nearest one after it those that make a forest of the components."""
     found, n = [], 0
-    for pairs in _allowed(comp, size, sketch, side, percent, False):
+    for pairs in _allowed(comp, size, sketch, side, percent, False, earlier):
         found.append(pairs)
         n += len(pairs[0])
         if most is not None and n > most:
-            return False, list(_forest(comp, list(_allowed(comp, size, sketch, side, percent, True))))
+            return False, list(_forest(comp, list(_allowed(comp, size, sketch, side, percent, True, earlier))))
     return True, found
 
 
@@ -223,8 +225,9 @@ def _forest(comp: np.ndarray, found: list) -> Iterator[tuple[np.ndarray, np.ndar
     yield x[kept], y[kept], apart[kept]
 
 
-def _allowed(comp: np.ndarray, size: np.ndarray, sketch: np.ndarray, side: np.ndarray, percent: int, closest: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _allowed(comp: np.ndarray, size: np.ndarray, sketch: np.ndarray, side: np.ndarray, percent: int, closest: bool, earlier: list[frozenset] | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     split = side.any()
+    first = np.array([min(e, default=None) for e in earlier], object) if earlier else None
     for i in range(len(comp) - 1):
         rest = slice(i + 1, None)
         good = (comp[rest] != comp[i]) & ((side[rest] != side[i]) | (not split))
@@ -235,6 +238,10 @@ def _allowed(comp: np.ndarray, size: np.ndarray, sketch: np.ndarray, side: np.nd
         apart = np.bitwise_count(sketch[at] ^ sketch[i]).sum(1, dtype=np.int64)
         near = apart <= most_apart(size[at] + size[i], percent)
         at, apart = at[near], apart[near]
+        if earlier and earlier[i] and len(at):
+            own = first[at] != first[i]
+            own[own] = [earlier[i].isdisjoint(earlier[j]) for j in at[own]]
+            at, apart = at[own], apart[own]
         if closest and len(at):
             at, apart = at[[apart.argmin()]], apart[[apart.argmin()]]
         if len(at):
@@ -260,14 +267,15 @@ def _open_pairs(percent: int, forests: bool, most: int = 200_000):
 
     def settled(f: pd.DataFrame, starts) -> Iterator[pd.DataFrame]:
         """Pairs of all groups but the one after the last start, which may go on in the next frame."""
-        key, rep, comp, size, sketch = (f[c].to_numpy() for c in ("key", "rep", "comp", "n", "sketch"))
+        key, rep, comp, size, sketch, keys = (f[c].to_numpy() for c in ("key", "rep", "comp", "n", "sketch", "keys"))
         side = (f["own"] != f["bi"]).to_numpy().astype(np.int8)
         found, rows = [], 0
         for a, z in zip(starts[:-1], starts[1:], strict=True):
             if z - a < 2 or not (comp[a:z] != comp[a]).any():
                 continue
             bits = np.frombuffer(b"".join(sketch[a:z]), np.uint64).reshape(z - a, -1)
-            whole, pairs = bucket_pairs(comp[a:z], size[a:z], bits, side[a:z], percent, 2 * int(z - a) if forests else None)
+            earlier = [frozenset(k[k < key[a]].tolist()) for k in keys[a:z]]
+            whole, pairs = bucket_pairs(comp[a:z], size[a:z], bits, side[a:z], percent, 2 * int(z - a) if forests else None, earlier)
             for i, j, apart in pairs:
                 found.append(pd.DataFrame({"key": key[a], "a": np.minimum(rep[a + i], rep[a + j]), "b": np.maximum(rep[a + i], rep[a + j]), "apart": apart, "whole": whole}))
                 rows += len(i)
@@ -380,13 +388,15 @@ def _classes(docs: DataFrame, n: int, percent: int, text_col: str, id_col: str,
         shares = here.groupBy("key", "comp").agg(F.count("*").alias("c"))
         main = shares.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("all")).where(F.col("all") > F.col("main.c"))
         rows = here.join(main, "key").withColumn("band", F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int")).join(sketches, ["rep", "band"]).join(sized.select("rep", "n"), "rep")
+        keys = rows.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list("key")), 1, KNOWN).alias("keys"))
+        rows = rows.join(keys, "rep")
         # blocks 0 .. m - 1 hold the largest component, which is not compared with itself, blocks m .. last the others
         m, others = F.ceil(F.col("main.c") / block), F.ceil((F.col("all") - F.col("main.c")) / block)
         largest = F.col("comp") == F.col("main.comp")
         rows = rows.withColumn("m", m).withColumn("last", m + others - 1)
         rows = rows.withColumn("own", F.when(largest, F.pmod(F.xxhash64("rep"), "m")).otherwise(F.col("m") + F.pmod(F.xxhash64("rep"), F.col("last") - F.col("m") + 1)))
         rows = rows.withColumn("other", F.explode(F.sequence(F.when(largest, F.col("m")).otherwise(F.lit(0)), "last")))
-        rows = rows.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "rep", "comp", "n", "sketch")
+        rows = rows.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "rep", "comp", "n", "sketch", "keys")
         dealt = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep")
         found = materialize(dealt.mapInPandas(_open_pairs(percent, forests), OPEN), "open")
         pairs = found.where("whole").select("a", "b").unionByName(closest(found.where("not whole"))).distinct()

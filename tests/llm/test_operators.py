@@ -239,6 +239,25 @@ def test_line_dedup_keeps_a_passage_inside_a_line(spark):
     assert {r.doc_id: r.text for r in got.collect()} == {0: texts[0], 1: f"three {passage} four\n"}
 
 
+def test_a_pair_is_returned_by_the_first_bucket_that_holds_both():
+    rng = np.random.default_rng(3)
+    n, percent = 60, 85
+    sketch, size = rng.integers(0, 2**63, (1, 4), dtype=np.uint64).repeat(n, 0), np.full(n, 40)
+    sketch[np.arange(n), rng.integers(0, 4, n)] ^= np.uint64(1) << rng.integers(0, 63, n).astype(np.uint64)
+    inside = rng.random((9, n)) < 0.6  # buckets by members
+    want = {(i, j) for b in inside for i in np.flatnonzero(b) for j in np.flatnonzero(b) if i < j}
+    for known in (9, 2):
+        found = Counter()
+        for key, b in enumerate(inside):
+            at = np.flatnonzero(b)
+            earlier = [frozenset(k for k in np.flatnonzero(inside[:, i])[:known].tolist() if k < key) for i in at]
+            whole, pairs = jaccard.bucket_pairs(at, size[at], sketch[at], np.zeros(len(at), np.int8), percent, None, earlier)
+            assert whole
+            found.update((int(at[i]), int(at[j])) for a, z, _ in pairs for i, j in zip(a, z, strict=True))
+        assert set(found) == want
+        assert known < 9 or set(found.values()) == {1}
+
+
 def test_passages_inside_lines_are_found_whatever_stands_around_them(spark):
     rng = random.Random(5)
     text = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n))
