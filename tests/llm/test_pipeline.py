@@ -30,3 +30,19 @@ def test_pipeline(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert set(got.doc_id) == set(range(3, 14)) | {last - 1, last}
     assert (got.groupby("sequence_id")["length"].sum() <= 2048).all()
+
+
+def test_texts_reach_python_in_small_batches(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("text").alias("text")).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("sizes", lambda spark, docs, sf_dir: docs.mapInArrow(sizes, "n bigint"))])
+    before = spark.conf.get(corpus_pipeline._BATCH)
+    got = [r.n for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sum(got) == 5000 and max(got) <= corpus_pipeline.BATCH_ROWS
+    assert spark.conf.get(corpus_pipeline._BATCH) == before
