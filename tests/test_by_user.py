@@ -57,3 +57,21 @@ def test_neighbours_of_clicked_articles_only(spark, tmp_path):
         assert len({i for i, _, _ in near}) == clicked.count() < t.vectors.count()
     finally:
         spark.conf.unset("spark.newsloom.store")
+
+
+def test_mean_vectors_are_gathered_whole(spark):
+    """A row a click and not a row a dimension is dealt; unknown values and vectors are left out of the mean, as avg does."""
+    vec = {1: [1.0, 2.0, None], 2: [3.0, None, None], 3: None, 4: [], 5: [5.0], 9: [7.0, 7.0, 7.0]}
+    vectors = spark.createDataFrame(list(vec.items()), "article_id bigint, vec array<double>")
+    history = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 2, 5), (2, 0, 2), (2, 1, 2), (2, 2, 3), (3, 0, 3), (4, 0, 4), (5, 0, 8)], "user_id bigint, loc bigint, item bigint")
+    d = rc.mean_vectors(history, vectors)
+    assert {r.user_id: r.vec for r in d.collect()} == {1: [3.0, 2.0, None], 2: [3.0, None, None]}
+    click = history.select("user_id", F.col("item").alias("click_article_id"), F.col("loc"))
+    asked = []
+    before = rc.recall_by_vectors
+    rc.recall_by_vectors = lambda users, *rest: asked.append(users)
+    try:
+        rc.vector_recall_unseen(vectors, click, history.select("user_id").distinct())
+    finally:
+        rc.recall_by_vectors = before
+    assert "dim#" not in plan(asked[0])
