@@ -13,7 +13,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     moved = both.join(least, "u")
     moved = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return moved.where("u <> v").distinct()
+    moved = moved.where("u <> v")
+    return moved if large else moved.distinct()  # the small star that follows is not changed by repeated rows
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller one, which has none itself."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up > 1 or (up = 1 and root = 1)").isEmpty()
 
 
 def components(links: DataFrame, label: str = "cc") -> DataFrame:
@@ -22,13 +29,8 @@ def components(links: DataFrame, label: str = "cc") -> DataFrame:
     edges = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{label}-edges")
     if not edges.limit(1).count():
         return edges.toDF("node", "component")
-    before = None
-    while True:
+    while not _stars(edges):
         last, edges = edges, materialize(_star(_star(edges, True), False), label)
         drop(links.sparkSession, last)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == before:
-            break
-        before = now
     # only stars are left
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -359,8 +359,10 @@ def _classes(docs: DataFrame, n: int, percent: int, text_col: str, id_col: str,
         drop(spark, texts)
         return done
 
-    def grouped(checked: DataFrame) -> DataFrame:
-        return components(checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))).toDF("rep", "comp")
+    def grouped(new: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+        """rep, comp: the components of linked pairs and of earlier ``groups``, whose stars stand for the links that made them."""
+        links = new.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        return components(links if groups is None else links.unionByName(groups.toDF("u", "v"))).toDF("rep", "comp")
 
     def apart_in(pairs: DataFrame, groups: DataFrame) -> DataFrame:
         """The pairs whose ends are in different components."""
@@ -377,8 +379,9 @@ def _classes(docs: DataFrame, n: int, percent: int, text_col: str, id_col: str,
     groups = grouped(checked)
     rest = materialize(apart_in(near.join(checked.select("a", "b"), ["a", "b"], "left_anti"), groups), "pairs")
     if rest.limit(1).count():
-        checked = materialize(checked.unionByName(verified(rest)), "verified")
-        groups = grouped(checked)
+        new = verified(rest)
+        groups = grouped(new, groups)
+        checked = materialize(checked.unionByName(new), "verified")
     drop(spark, near, rest)
 
     # buckets of two are settled; larger ones are followed up where they are not in one component
@@ -405,7 +408,7 @@ def _classes(docs: DataFrame, n: int, percent: int, text_col: str, id_col: str,
             new = verified(fresh)
             checked = materialize(checked.unionByName(new), "verified")
             if new.where("linked").limit(1).count():
-                groups = grouped(checked)
+                groups = grouped(new, groups)
         # a bucket whose pairs were all returned is settled
         again = found.where("not whole").select("key").distinct()
         if not again.limit(1).count():

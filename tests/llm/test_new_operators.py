@@ -203,3 +203,23 @@ def test_held_out_quality(spark):
     held = got[got.held_out]
     assert len(held) > 50 and (held.predicted == held.quality).mean() > 0.95
     assert {bool(h) == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in zip(got.doc_id, got.held_out, strict=True)} == {True}
+
+
+def test_components_end_where_only_stars_are_left(spark, monkeypatch):
+    from newsloom.llm import components as cc
+
+    made = []
+    monkeypatch.setattr(cc, "materialize", lambda d, label, keep=cc.materialize: made.append(label) or keep(d, label))
+    found = lambda links: {r.node: r.component for r in cc.components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
+    assert found([(1, 2), (3, 1), (3, 1), (9, 8), (5, 5)]) == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8}
+    assert made == ["cc-edges"]  # no round: stars are given
+    assert found([(1, 2), (3, 2), (4, 3), (4, 6), (7, 6), (20, 21)]) == dict.fromkeys((1, 2, 3, 4, 6, 7), 1) | {20: 20, 21: 20}
+    made.clear()
+    rng = np.random.default_rng(5)
+    links = rng.integers(0, 120, (90, 2)).tolist()
+    least = {n: n for x in links for n in x if x[0] != x[1]}
+    for _ in least:
+        for a, b in links:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    assert found(links) == least
