@@ -1,0 +1,51 @@
+"""Means and lengths of vectors without work that is repeated; the k best of visited groups."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from newsloom.operators import features as ft, pivots, recall as rc
+
+
+def plan(d):
+    return d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_means_are_sums_a_dimension(spark):
+    history = spark.createDataFrame([(1, 0, 7), (1, 1, 8), (1, 2, 7), (2, 0, 9), (3, 0, 99)], "user_id bigint, loc bigint, item bigint")
+    vectors = spark.createDataFrame([(7, [1.0, None, 3.0]), (8, [4.0, 5.0]), (9, [2.0]), (10, [0.0] * 9)], "article_id bigint, vec array<double>")
+    d = rc.mean_vectors(history, vectors)
+    assert "collect_list" not in plan(d) and "lambdafunction" not in plan(d)
+    assert {r.user_id: r.vec for r in d.collect()} == {1: [2.0, 5.0, 3.0], 2: [2.0]}
+    assert rc.mean_vectors(history.limit(0), vectors).count() == 0
+
+
+@pytest.mark.parametrize("made", [pivots.normalized, ft.unit])
+def test_a_length_is_computed_once_a_vector(spark, made):
+    """No sum stands inside a function of a component."""
+    d = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,), ([],)], "v array<double>").select(made(F.col("v")).alias("u"))
+    shown = plan(d)
+    inner = [part for part in shown.split("lambdafunction(")[1:] if part.startswith(("(lambda x", "CASE WHEN", "CASE", "(namedlambdavariable()"))]
+    assert inner and not any("SQRT" in part.split("namedlambdavariable(), ")[0] for part in inner)
+    got = [r.u for r in d.collect()]
+    assert got[0] == [0.6, 0.8] and got[1:] == ([[0.0, 0.0], None, []] if made is pivots.normalized else [None] * 3)
+
+
+def test_the_best_of_visited_groups(monkeypatch):
+    rng = np.random.default_rng(3)
+    x, q = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.normal(size=(90, 5)), rng.normal(size=(40, 5))))
+    x[50:60] = x[5]  # ties
+    ids = rng.permutation(900)[:90]
+    visited = rng.random((40, 3)) < 0.7
+    visited[0] = False
+    groups = [(0, 30, np.flatnonzero(visited[:, 0])), (30, 70, np.flatnonzero(visited[:, 1])), (70, 90, np.flatnonzero(visited[:, 2]))]
+    sims = np.round(q @ x.T, 9)
+    least = np.where(np.arange(40) % 2, -np.inf, 0.3)
+    for cells in (1 << 22, 64):
+        monkeypatch.setattr(pivots, "CELLS", cells)
+        row, of, found = pivots._found(q, x, ids, groups, least, 8)
+        for k in range(40):
+            there = np.concatenate([np.arange(a, b) for g, (a, b, _) in enumerate(groups) if visited[k, g]] or [np.zeros(0, int)])
+            want = sorted((-sims[k, j], ids[j]) for j in there if sims[k, j] >= least[k])[:8]
+            got = sorted(zip(-found[row == k], of[row == k], strict=True))
+            assert [i for _, i in got][: len(want)] == [i for _, i in want]
