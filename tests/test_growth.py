@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators import features as ft, recall as rc
+from newsloom import config
+from newsloom.operators import features as ft, recall as rc, twotower as tt
 
 
 def plan(d):
@@ -43,3 +44,11 @@ def test_seeds_are_dealt_by_user_before_they_meet_neighbours(spark, monkeypatch)
     d = rc.vector_recall_last(vectors, click, query)
     assert "hashpartitioning(user_id#" in plan(d) and "REPARTITION_BY_NUM" in plan(d)
     assert {r.user_id: r.n for r in d.groupBy("user_id").agg(F.count("*").alias("n")).collect()} == {u: 4 for u in range(n)}
+
+
+def test_the_negatives_of_all_steps_are_one_draw(spark, monkeypatch):
+    click = spark.createDataFrame([(u, (u + k) % 4, k, 10 * u + k) for u in range(6) for k in range(5)], "user_id bigint, click_article_id bigint, click_timestamp bigint, event_id bigint")
+    asked, draw = [], tt.negatives.draw
+    monkeypatch.setattr(tt.negatives, "draw", lambda s, *given, **named: asked.append(sorted(r.key for r in s.collect())) or draw(s, *given, **named))
+    tt.train(click, config.TwoTower(dim=4, hidden=4, length=3, negatives=5, epochs=2, steps=2))
+    assert asked == [["0-0", "0-1", "1-0", "1-1"]]
